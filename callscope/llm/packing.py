@@ -68,9 +68,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Units held per worker before the cache starts again.
 CACHE_UNITS = 200_000
 #: White space as the pattern's \s has it (Python's has four control characters more).
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-_PLAIN = re.compile("[\x20-\x7e\xc0-ɏ]*")
+_PLAIN = re.compile("[ -~\xc0-\u024f]*")
 
 
 class UnitEncoder:
