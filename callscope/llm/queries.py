@@ -20,6 +20,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callscope.llm.simhash import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from callscope.llm.exact_dedup import annotate
 
@@ -36,6 +42,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op5_simhash": op5_simhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
 }
