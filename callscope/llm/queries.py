@@ -40,11 +40,18 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callscope.llm.merkle import fingerprint_and_compare
+
+    return fingerprint_and_compare(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_simhash": op5_simhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
+    "op10_merkle": op10_merkle,
 }
 
 ORACLE_SQL = {
