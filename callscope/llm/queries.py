@@ -7,11 +7,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from callscope.llm import mixing
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callscope.llm.mixing import mix_documents
+
+    return mix_documents(_documents(spark, sf_dir))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from callscope.llm.secrets import scan_documents
 
@@ -53,6 +61,7 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
     "op3_token_counts": op3_token_counts,
     "op5_simhash": op5_simhash,
@@ -62,6 +71,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_mixing": mixing.ORACLE,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
