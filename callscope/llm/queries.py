@@ -40,6 +40,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callscope.llm.language_id import predict_documents
+
+    return predict_documents(_documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from callscope.llm.exact_dedup import annotate
 
@@ -65,6 +71,7 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_token_counts": op3_token_counts,
     "op5_simhash": op5_simhash,
+    "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
     "op10_merkle": op10_merkle,
