@@ -34,6 +34,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callscope.llm.lm_scoring import score_documents
+
+    return score_documents(_documents(spark, sf_dir))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from callscope.llm.simhash import near_duplicates
 
@@ -70,6 +76,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
     "op3_token_counts": op3_token_counts,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_simhash": op5_simhash,
     "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
