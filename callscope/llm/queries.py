@@ -46,6 +46,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callscope.llm.pii import scan
+
+    return scan(_documents(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from callscope.llm.language_id import predict_documents
 
@@ -78,6 +84,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_simhash": op5_simhash,
+    "op6_pii": op6_pii,
     "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
