@@ -62,16 +62,18 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, fp (the fingerprint as a signed long) and h (XXH64 of the text, seed 42) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = np.array([fingerprint(t, shingle_words) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], names=["doc_id", "fp"])
+                texts = part.column(1).to_pylist()
+                found = np.array([fingerprint(t, shingle_words) for t in texts], np.uint64).view(np.int64)
+                own = np.array([xxhash.xxh64_intdigest((t or "").encode(), 42) for t in texts], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found), pa.array(own)], names=["doc_id", "fp", "h"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, fp long, h long")
 
 
 # ---------------------------------------------------------------- links
@@ -195,21 +197,46 @@ def near_links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, blocks: in
     return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(_link_groups(max_distance), "src long, dst long")
 
 
+def _components(prints: DataFrame, max_distance: int) -> tuple[DataFrame, DataFrame]:
+    """(distinct fingerprints: fp, least doc_id, rows n; fp and root of those that have a link)."""
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    return distinct, cut(connected_components(near_links(distinct.select("fp"), max_distance)).toDF("fp", "root"))
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every row."""
     prints = cut(fingerprints(docs, shingle_words))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    linked = connected_components(near_links(distinct.select("fp"), max_distance))  # node, component
-    grouped = linked.join(distinct.withColumnRenamed("fp", "node"), "node")
-    least = grouped.groupBy("component").agg(F.min("least").alias("component_least"))
-    roots = cut(grouped.join(least, "component").select(F.col("node").alias("fp"), "component_least"))
-    # Fingerprints of many rows: at most a thousand can have a thousandth of all rows each, so that side is bounded.
-    total = prints.count()
-    own = distinct.join(roots, "fp", "left").select("fp", "n", F.coalesce("component_least", "least").alias("component_id"))
-    small = distinct.count() <= BROADCAST_ROWS
+    distinct, linked = _components(prints, max_distance)
+    grouped = linked.join(distinct, "fp")
+    least = grouped.groupBy("root").agg(F.min("least").alias("root_least"))
+    roots = grouped.join(least, "root").select("fp", "root_least")
+    own = cut(distinct.join(roots, "fp", "left").select("fp", "n", F.coalesce("root_least", "least").alias("component_id")))
     shown = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    if small:
+    if own.count() <= BROADCAST_ROWS:
         return prints.join(F.broadcast(own), "fp").select("doc_id", shown, "component_id")
-    heavy = own.where(F.col("n") * 1000 >= total).select("fp", "component_id")
-    most = prints.join(F.broadcast(heavy.select("fp")), "fp", "left_anti").join(own, "fp")
-    return prints.join(F.broadcast(heavy), "fp").select("doc_id", shown, "component_id").unionByName(most.select("doc_id", shown, "component_id"))
+    # Fingerprints of many rows: at most a thousand can have a thousandth of all rows each, so that side is bounded.
+    heavy = F.broadcast(own.where(F.col("n") * 1000 >= prints.count()).select("fp", "component_id"))
+    most = prints.join(heavy.select("fp"), "fp", "left_anti").join(own, "fp")
+    return prints.join(heavy, "fp").select("doc_id", shown, "component_id").unionByName(most.select("doc_id", shown, "component_id"))
+
+
+def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """The rows of docs without all but one document of each near-duplicate group.
+
+    The smallest doc_id stays (a null one only if the group has no other), among
+    equal ones the smallest hash of the text; rows equal in both stay together.
+    """
+    prints = cut(fingerprints(docs, shingle_words))
+    _, linked = _components(prints, max_distance)
+    # Fingerprints with one row and no link can't lose a row; the others are few.
+    shared = prints.groupBy("fp").count().where(F.col("count") > 1).select("fp", F.col("fp").alias("root"))
+    groups = cut(linked.unionByName(shared.join(linked, "fp", "left_anti")))
+    small = groups.count() <= BROADCAST_ROWS
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h"))
+    members = prints.join(F.broadcast(groups) if small else groups, "fp").select("root", "doc_id", "h", rank.alias("rank"))
+    first = members.groupBy("root").agg(F.min("rank").alias("first"))
+    first = F.broadcast(first) if small else first
+    losers = cut(members.join(first, "root").where(~F.col("rank").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_cs_id"), F.col("h").alias("_cs_h")).distinct())
+    losers = F.broadcast(losers) if losers.count() <= BROADCAST_ROWS else losers
+    mine = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(losers, docs["doc_id"].eqNullSafe(F.col("_cs_id")) & (mine == F.col("_cs_h")), "left_anti")
