@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from callscope.runtime import shuffle_partitions, spill
 
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 6_000_000
 #: Weight of the root in a state, in tokens (the best of 20, 100, 500 on held-out text, nearly).
 MU = 100.0
 #: Hash of the end token; no word holds white space.
@@ -198,7 +198,7 @@ def _answer(bits: int):
             at, out = 0, []
             for k, (chunk, own, _) in enumerate(blocks):
                 lead = kind == WORD and k == 0
-                out.append((chunk, kind, top, [str((totals > 0).sum())] if lead else None, int(totals.sum()) if lead else 0, back[at : at + len(own)].tobytes(), None, None))
+                out.append((chunk, kind, top, [str((totals > 0).sum())] if lead else None, int(totals.sum()) if lead else 0, _pack(back[at : at + len(own)]), None, None))
                 at += len(own)
             for k in range(0, len(out), 256):
                 yield pd.DataFrame(out[k : k + 256], columns=_COLUMNS)
@@ -234,7 +234,7 @@ def _score(total: int, distinct: int, mu: float):
 
         def counts(kind: int) -> np.ndarray:
             own = rows[rows["kind"] == kind].sort_values("range")
-            return np.frombuffer(b"".join(own["a"]), "<u4").astype(np.float64)
+            return np.concatenate([_unpack(a, "<u4") for a in own["a"]]).astype(np.float64)
 
         words, pairs = counts(WORD), counts(PAIR)
         _, where = chunk.pairs()
@@ -257,8 +257,7 @@ def score_documents(docs: DataFrame, mu: float = MU) -> DataFrame:
     chunks = spill(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_chunk, CHUNKS_DDL))
     tokens = chunks.agg(F.sum("n")).first()[0] or 0
     bits = max(8, math.ceil(math.log2(max(1, tokens) / RANGE_TOKENS)))
-    # Small Arrow batches: a chunk is a row of some MB.
-    asked = chunks.repartition(max(parts, chunks.count()), "chunk").mapInPandas(_ask(bits), CHUNKS_DDL)
+    asked = chunks.mapInPandas(_ask(bits), CHUNKS_DDL)  # a scan's task reads a few chunks
     answers = spill(asked.repartition(parts, "kind", "range").sortWithinPartitions("kind", "range", "chunk").mapInPandas(_answer(bits), CHUNKS_DDL))
     total, distinct = answers.where(F.col("kind") == WORD).agg(F.sum("n"), F.sum(F.col("ids")[0].cast("long"))).first()
     return chunks.unionByName(answers).groupBy("chunk").applyInPandas(_score(total or 0, distinct or 0, mu), SCORES_DDL)
