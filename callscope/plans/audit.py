@@ -1,0 +1,48 @@
+"""Append-only log of a run as JSON lines, its usage totals, and a readable account."""
+
+from __future__ import annotations
+
+import json
+import threading
+import time
+from collections import Counter
+from dataclasses import dataclass, field
+from pathlib import Path
+
+
+@dataclass
+class Audit:
+    path: str | None = None
+    began: float = field(default_factory=time.monotonic)
+    events: list[dict] = field(default_factory=list)
+    lock: threading.Lock = field(default_factory=threading.Lock)
+
+    def event(self, kind: str, **detail: object) -> None:
+        row = {"at": round(time.monotonic() - self.began, 3), "kind": kind, **detail}
+        with self.lock:
+            self.events.append(row)
+            if self.path:
+                with open(self.path, "a") as f:
+                    f.write(json.dumps(row, default=str) + "\n")
+
+    def usage(self) -> dict:
+        """Judge calls and tokens in all, by purpose and by model."""
+        asked = [e for e in self.events if e["kind"] == "judge"]
+        total = lambda by: dict(sum((Counter({e.get(by): e.get("tokens", 0)}) for e in asked), Counter()))
+        return {"calls": len(asked), "cached": sum(bool(e.get("cached")) for e in asked), "tokens": sum(e.get("tokens", 0) for e in asked), "by_purpose": total("purpose"), "by_model": total("model")}
+
+    def markdown(self) -> str:
+        rows = "\n".join(f"| {e['at']:.3f} | {e['kind']} | {', '.join(f'{k}={v}' for k, v in e.items() if k not in ('at', 'kind'))} |" for e in self.events)
+        return f"# Audit\n\n| s | event | detail |\n|-|-|-|\n{rows}\n"
+
+    def save_markdown(self, path: str) -> None:
+        Path(path).write_text(self.markdown())
+
+
+#: Dollars for a million prompt and completion tokens.
+PRICES = {"gpt-4o": (2.50, 10.00), "gpt-4o-mini": (0.15, 0.60), "gpt-4.1": (2.00, 8.00), "gpt-4.1-mini": (0.40, 1.60)}
+
+
+def estimate_cost(model: str, prompt_tokens: int, completion_tokens: int) -> float:
+    prompt, completion = next((p for name, p in sorted(PRICES.items(), key=lambda kv: -len(kv[0])) if model.startswith(name)), (0.0, 0.0))
+    return (prompt_tokens * prompt + completion_tokens * completion) / 1e6
