@@ -66,11 +66,11 @@ class OpenSequence:
 #: The byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Units held per worker before the cache starts again.
-CACHE_UNITS = 200_000
+CACHE_UNITS = 500_000
 #: White space as the pattern's \s has it (Python's has four control characters more).
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-_PLAIN = re.compile("[ -~\xc0-\u024f]*")
+_PLAIN = re.compile("[\n -~\xc0-\u024f]*")
 
 
 class UnitEncoder:
@@ -101,18 +101,22 @@ class UnitEncoder:
 
     def _learn(self, units: list[str]) -> None:
         """units: without the one space that precedes each."""
-        plain = [u for u in units if _PLAIN.fullmatch(u) and " " not in u and u and not any(s in u for s in self.special)]
-        if plain:
-            ids = np.array(self.fast.encode_ordinary(" " + " ".join(plain)), "<u4")
-            ends = np.cumsum([len(u.encode()) + 1 for u in plain])
-            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="left") + 1
-            raw, start = ids.tobytes(), 0
-            for u, end in zip(plain, cuts.tolist()):
-                self.cache[u] = raw[4 * start : 4 * end]
-                start = end
-        rest = [u for u in units if u not in self.cache]
-        for u, e in zip(rest, self.tokenizer.encode_batch([" " + u for u in rest], add_special_tokens=False)):
-            self.cache[u] = np.array(e.ids, "<u4").tobytes()
+        if not self._plain(" ".join(units)):
+            rest = [u for u in units if not u or not self._plain(u)]
+            for u, e in zip(rest, self.tokenizer.encode_batch([" " + u for u in rest], add_special_tokens=False)):
+                self.cache[u] = np.array(e.ids, "<u4").tobytes()
+            units = [u for u in units if u not in self.cache]
+        if units:
+            text = " " + " ".join(units)
+            ids = np.array(self.fast.encode_ordinary(text), "<u4")
+            # Every unit begins with the only space it holds; ids end where units do.
+            ends = np.r_[np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)[1:], len(text.encode())]
+            cuts = (4 * (np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="left") + 1)).tolist()
+            raw = ids.tobytes()
+            self.cache.update(zip(units, [raw[x:y] for x, y in zip([0, *cuts], cuts)]))
+
+    def _plain(self, text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) + len(self.runs) > CACHE_UNITS:
