@@ -37,7 +37,7 @@ class Mix:
     chunk: int = 1024
     cells: int = 1024
     seed: str = "mix"
-    documents_per_bucket: int = 2048
+    documents_per_bucket: int = 512
 
 
 def words(text: Column) -> Column:
