@@ -1,8 +1,8 @@
 """SimHash near-duplicates, linked through pivot distance tables.
 
 A fingerprint has a bit where over half of a text's shingle hashes have it. Equal
-fingerprints are one node. Candidate groups come from pigeonhole keys: of `BLOCKS`
-blocks of a fingerprint at least `BLOCKS - max_distance` are the same in two
+fingerprints are one node. Candidate groups come from pigeonhole keys: of
+`max_distance + AGREE` blocks of a fingerprint at least `AGREE` are the same in two
 fingerprints that differ in `max_distance` bits, so every linked pair agrees in some
 choice of that many blocks. Inside a group each fingerprint has a row in a table of
 distances to reference fingerprints (pivots); by the triangle inequality a pair
@@ -34,11 +34,11 @@ from callscope.runtime import BROADCAST_ROWS, cut, shuffle_partitions
 
 SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
-#: Blocks of the pigeonhole key.
-BLOCKS = 6
+#: Blocks that two linked fingerprints agree in at least, of max_distance + AGREE.
+AGREE = 2
 PIVOTS = 24
 #: Up to this size all pairs of a group go through the pivot table side by side; larger groups are searched.
-SMALL_GROUP = 24
+SMALL_GROUP = 48
 BITS = np.uint64(64)
 
 
@@ -88,7 +88,7 @@ def distances(fps: np.ndarray, references: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ references[None, :]).astype(np.int8)
 
 
-def block_masks(blocks: int = BLOCKS, max_distance: int = MAX_DISTANCE) -> list[int]:
+def block_masks(blocks: int = MAX_DISTANCE + AGREE, max_distance: int = MAX_DISTANCE) -> list[int]:
     """A mask for each choice of blocks that two linked fingerprints can agree in."""
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
     single = [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:])]
@@ -188,10 +188,10 @@ def _link_groups(max_distance: int):
     return run
 
 
-def near_links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+def near_links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """Links (src, dst) that connect the fingerprints in column `fp` (each once) exactly as all pairs at `max_distance` would."""
     parts = shuffle_partitions(distinct.sparkSession)
-    signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(blocks, max_distance)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(max_distance + AGREE, max_distance)]
     keys = F.explode(F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(signed))))
     keyed = distinct.select("fp", keys.alias("key"))
     return keyed.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(_link_groups(max_distance), "src long, dst long")

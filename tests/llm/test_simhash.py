@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from callscope.llm.simhash import fingerprint, near_duplicates, near_links
@@ -21,7 +22,7 @@ def test_fingerprint_equals_brute_force():
         assert fingerprint(text) == brute_fingerprint(text), text
 
 
-def brute_components(rows):
+def brute_components(rows, most=4):
     """rows: (doc_id, fp)"""
     root = list(range(len(rows)))
 
@@ -32,7 +33,7 @@ def brute_components(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (rows[i][1] ^ rows[j][1]).bit_count() <= 4:
+            if (rows[i][1] ^ rows[j][1]).bit_count() <= most:
                 root[find(i)] = find(j)
     best = {}
     for k, (doc, _) in enumerate(rows):
@@ -40,14 +41,15 @@ def brute_components(rows):
     return [best[find(k)] for k in range(len(rows))]
 
 
-def test_links_connect_as_all_pairs_do(spark):
+@pytest.mark.parametrize("most", [4, 8])
+def test_links_connect_as_all_pairs_do(spark, most):
     from callscope.operators.components import connected_components
 
     rng = random.Random(1)
     fps = set()
     for _ in range(40):
         base = rng.getrandbits(64)
-        for _ in range(rng.choice([1, 2, 30])):
+        for _ in range(rng.choice([1, 2, 90])):
             x = base
             for _ in range(rng.randrange(7)):
                 x ^= 1 << rng.randrange(64)
@@ -55,9 +57,9 @@ def test_links_connect_as_all_pairs_do(spark):
     fps |= {0, (1 << 64) - 1, 0b1111, 0b11111}
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    found = connected_components(near_links(spark.createDataFrame([(f,) for f in signed], "fp long")))
+    found = connected_components(near_links(spark.createDataFrame([(f,) for f in signed], "fp long"), most))
     got = {r.node % (1 << 64): r.component for r in found.collect()}
-    want = brute_components(list(enumerate(fps)))
+    want = brute_components(list(enumerate(fps)), most)
     groups = {}
     for f, w in zip(fps, want):
         groups.setdefault(w, []).append(f)
