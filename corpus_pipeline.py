@@ -24,9 +24,13 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.dedup(docs)
 
 
+#: Near copies share most shingles of five words: their fingerprints agree in 56 of 64 bits, which texts alike in 0.8 and more mostly do.
+NEAR_WORDS, NEAR_BITS = 5, 8
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the row with the smallest doc_id stays."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, NEAR_WORDS, NEAR_BITS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
