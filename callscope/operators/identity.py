@@ -17,6 +17,8 @@ from callscope.runtime import BROADCAST_ROWS, cut
 from callscope.settings import Settings
 
 LONGS = "array<bigint>"
+#: Keys that one app's pairs are dealt to.
+PAIR_TASKS = 16
 
 
 def doc_frequency(keyed: DataFrame, lines: str = "lines", app: str = "app_id") -> DataFrame:
@@ -98,13 +100,13 @@ def pair_scores(points: DataFrame, settings: Settings = Settings()) -> DataFrame
     """(app_id, a, b, score) of all point pairs of an app, among its `linkage_points` largest.
 
     The pairs of an app grow with the square of its points; the bound is the same guard that linkage has.
-    Rows are dealt by point, so one app's pairs are many tasks.
+    The left side is dealt to PAIR_TASKS keys an app and the right side copied to each, so one app's pairs are many tasks.
     """
     view = F.struct("point", *POINT)
     linked = points.where(F.col("rank") < settings.linkage_points).select("app_id", "rank", view.alias("view"))
-    left = linked.repartition("app_id", "rank").select("app_id", F.col("rank").alias("i"), F.col("view").alias("x"))
-    right = linked.select("app_id", F.col("rank").alias("j"), F.col("view").alias("y"))
-    pairs = left.join(right, "app_id").where(F.col("i") < F.col("j"))
+    left = linked.select("app_id", (F.col("rank") % PAIR_TASKS).alias("part"), F.col("rank").alias("i"), F.col("view").alias("x"))
+    right = linked.select("app_id", F.explode(F.array(*map(F.lit, range(PAIR_TASKS)))).alias("part"), F.col("rank").alias("j"), F.col("view").alias("y"))
+    pairs = left.join(right, ["app_id", "part"]).where(F.col("i") < F.col("j"))
     return pairs.select("app_id", F.col("x.point").alias("a"), F.col("y.point").alias("b"), similarity("x", "y", settings).alias("score"))
 
 
