@@ -218,25 +218,3 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_dis
     heavy = F.broadcast(own.where(F.col("n") * 1000 >= prints.count()).select("fp", "component_id"))
     most = prints.join(heavy.select("fp"), "fp", "left_anti").join(own, "fp")
     return prints.join(heavy, "fp").select("doc_id", shown, "component_id").unionByName(most.select("doc_id", shown, "component_id"))
-
-
-def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """The rows of docs without all but one document of each near-duplicate group.
-
-    The smallest doc_id stays (a null one only if the group has no other), among
-    equal ones the smallest hash of the text; rows equal in both stay together.
-    """
-    prints = cut(fingerprints(docs, shingle_words))
-    _, linked = _components(prints, max_distance)
-    # Fingerprints with one row and no link can't lose a row; the others are few.
-    shared = prints.groupBy("fp").count().where(F.col("count") > 1).select("fp", F.col("fp").alias("root"))
-    groups = cut(linked.unionByName(shared.join(linked, "fp", "left_anti")))
-    small = groups.count() <= BROADCAST_ROWS
-    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h"))
-    members = prints.join(F.broadcast(groups) if small else groups, "fp").select("root", "doc_id", "h", rank.alias("rank"))
-    first = members.groupBy("root").agg(F.min("rank").alias("first"))
-    first = F.broadcast(first) if small else first
-    losers = cut(members.join(first, "root").where(~F.col("rank").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_cs_id"), F.col("h").alias("_cs_h")).distinct())
-    losers = F.broadcast(losers) if losers.count() <= BROADCAST_ROWS else losers
-    mine = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(losers, docs["doc_id"].eqNullSafe(F.col("_cs_id")) & (mine == F.col("_cs_h")), "left_anti")

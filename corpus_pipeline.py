@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callscope.llm import exact_dedup, language_id, mixing, packing, simhash
+from callscope.llm import exact_dedup, language_id, mixing, near_dedup, packing
 from callscope.runtime import spill
 
 
@@ -24,13 +24,13 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.dedup(docs)
 
 
-#: Near copies share most shingles of five words: their fingerprints agree in 56 of 64 bits, which texts alike in 0.8 and more mostly do.
+#: Near copies have a Jaccard index of at least 0.8 of their shingles of five words. The bits are no rule of the stage: the plain code of the tests tells its (nearer) copies by them.
 NEAR_WORDS, NEAR_BITS = 5, 8
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the row with the smallest doc_id stays."""
-    return simhash.keep_one(docs, NEAR_WORDS, NEAR_BITS)
+    return near_dedup.keep_one(docs, NEAR_WORDS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
