@@ -3,11 +3,12 @@
 Fixed patterns find the base kinds. Beyond them every run of a character class is a
 candidate; a window slides over it, its entropy is kept by incremental counts (one
 character leaves, one enters), and a candidate with a window at or above the
-class's bound is a secret unless an allow-list pattern explains it.
+class's bound is a secret unless an allow-list pattern explains it. Of overlapping
+candidates the widest that qualifies is the secret.
 
 Defined results: a null text is empty and has no span; spans are in code points, end
-exclusive, of the whole match; an added span never overlaps a base span; repeated
-rows are scanned alike; an empty table gives an empty result.
+exclusive, of the whole match; an added span never overlaps a base span (of one that
+would, the parts outside are added); repeated rows are scanned alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -91,13 +92,25 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
     for cls in CLASSES:
         for m in cls.pattern.finditer(text):
             candidate = m.group()
-            if _kinds(candidate) < cls.kinds or any(a.fullmatch(candidate) for a in ALLOW_LIST) or any(s < m.end() and m.start() < e for s, e in found):
+            if _kinds(candidate) < cls.kinds or any(a.fullmatch(candidate) for a in ALLOW_LIST) or any(s <= m.start() and m.end() <= e for s, e in found):
                 continue
             if any(h >= cls.bits for h in window_entropies(candidate)):
-                found.append(m.span())
+                found = [(s, e) for s, e in found if e <= m.start() or m.end() <= s] + [m.span()]
     return found
 
 
+def _outside(span: tuple[int, int], base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """What of a span lies in no base span; those are sorted by their starts."""
+    at, end = span
+    for s, e, _ in base:
+        if e > at and s < end:
+            if s > at:
+                yield at, s
+            at = e
+    if at < end:
+        yield at, end
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     found = [(*m.span(), "assign") for m in ASSIGN.finditer(text) if len(m.group(2)) >= LEAST["assign"]]
     found += [(*m.span(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]] if "AKIA" in text else []
@@ -109,7 +122,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     """The base spans and all spans of a text, as (start, end, kind)."""
     text = text or ""
     base = base_spans(text)
-    added = [(s, e, "entropy") for s, e in entropy_spans(text) if not any(s < y and x < e for x, y, _ in base)]
+    added = [(s, e, "entropy") for span in entropy_spans(text) for s, e in _outside(span, base)]
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
