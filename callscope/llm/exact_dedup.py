@@ -23,10 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callscope.runtime import BROADCAST_ROWS, cut, shuffle_partitions
+from callscope.runtime import beside, cut, shuffle_partitions
 
 #: Bits of the quotient inside one segment.
 QUOTIENT_BITS = 8
+#: Fingerprints of a segment, where there are many.
+SEGMENT_ROWS = 1 << 20
 
 
 class CountingQuotientFilter:
@@ -63,14 +65,23 @@ class CountingQuotientFilter:
         return (quotients << np.uint64(bits - QUOTIENT_BITS)) | self.remainders
 
     def to_bytes(self) -> bytes:
-        return self.runs.astype("<u4").tobytes() + self.remainders.astype("<u8").tobytes() + self.counts.astype("<i8").tobytes()
+        """Only the runs that are not empty and the counts that are not one are written."""
+        used, many = np.flatnonzero(self.runs), np.flatnonzero(self.counts > 1)
+        head = np.array([len(self.remainders), len(used), len(many)], "<u4")
+        parts = (head, used.astype("u1"), self.runs[used].astype("<u4"), self.remainders.astype("<u8"), many.astype("<u4"), self.counts[many].astype("<i8"))
+        return b"".join(x.tobytes() for x in parts)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> CountingQuotientFilter:
-        head = 4 << QUOTIENT_BITS
-        runs = np.frombuffer(data, "<u4", 1 << QUOTIENT_BITS)
-        n = int(runs.sum())
-        return cls(runs, np.frombuffer(data, "<u8", n, head), np.frombuffer(data, "<i8", n, head + 8 * n))
+        n, used, many = (int(x) for x in np.frombuffer(data, "<u4", 3))
+        at, found = 12, []
+        for kind, size in (("u1", used), ("<u4", used), ("<u8", n), ("<u4", many), ("<i8", many)):
+            found.append(np.frombuffer(data, kind, size, at))
+            at += found[-1].nbytes
+        runs, counts = np.zeros(1 << QUOTIENT_BITS, "<u4"), np.ones(n, np.int64)
+        runs[found[0]] = found[1]
+        counts[found[3]] = found[4]
+        return cls(runs, found[2], counts)
 
 
 def _build_filters(segment_bits: int):
@@ -108,46 +119,55 @@ def _merge_filters(segment_bits: int):
     return merge
 
 
+def segments(rows: int, parts: int) -> int:
+    """Bits of the segment number: enough segments for the tasks at hand, or one for SEGMENT_ROWS fingerprints."""
+    return max(1, math.ceil(math.log2(max(min(4 * parts, 256), rows / SEGMENT_ROWS))))
+
+
 def repeated_fingerprints(fps: DataFrame) -> DataFrame:
     """(fp, n) of every fingerprint that the column `fp` holds more than once."""
     parts = shuffle_partitions(fps.sparkSession)
-    segment_bits = max(1, math.ceil(math.log2(4 * parts)))
-    filters = fps.mapInPandas(_build_filters(segment_bits), "segment long, payload binary")
-    return filters.repartition(parts, "segment").sortWithinPartitions("segment").mapInPandas(_merge_filters(segment_bits), "fp long, n long")
+    bits = segments(fps.count(), parts)
+    filters = fps.mapInPandas(_build_filters(bits), "segment long, payload binary")
+    return filters.repartition(parts, "segment").sortWithinPartitions("segment").mapInPandas(_merge_filters(bits), "fp long, n long")
 
 
-def annotate(docs: DataFrame) -> DataFrame:
-    """docs with keep_id, group_size, kept and text_sha256 for every row (columns of these names are replaced)."""
-    out = ("keep_id", "group_size", "kept", "text_sha256")
-    docs = docs.drop(*out)
+def _annotated(docs: DataFrame) -> DataFrame:
+    """docs with _cs_keep_id, _cs_group_size, _cs_kept and _cs_text_sha256."""
     body = F.coalesce(F.col("text"), F.lit(""))
     base = docs.withColumn("_cs_fp", F.xxhash64(body))
     repeated = cut(repeated_fingerprints(base.select(F.col("_cs_fp").alias("fp"))))
-    small = repeated.count() <= BROADCAST_ROWS
-    keys = repeated.select(F.col("fp").alias("_cs_fp"))
-    keys = F.broadcast(keys) if small else keys
-
-    sha = F.sha2(body, 256)
-    routed = base.join(keys, "_cs_fp", "left_semi")
-    groups = (
-        routed.groupBy("_cs_fp", body.alias("_cs_body"))
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("_cs_fp", F.sha2("_cs_body", 256).alias("text_sha256"), "keep_id", "group_size")
+    # Byte verification: equal fingerprints are parted by their texts.
+    groups = cut(
+        docs.select("doc_id", body.alias("_cs_body"), F.xxhash64(body).alias("_cs_fp")).join(beside(repeated.select(F.col("fp").alias("_cs_fp"))), "_cs_fp", "left_semi")
+        .groupBy("_cs_fp", "_cs_body").agg(F.max("doc_id").alias("_cs_max"), F.count(F.lit(1)).alias("_cs_count"))
+        .select("_cs_fp", F.sha2("_cs_body", 256).alias("_cs_text_sha256"), "_cs_max", "_cs_count")
     )
-    groups = cut(groups)
-    groups = F.broadcast(groups) if small and groups.count() <= BROADCAST_ROWS else groups
+    joined = base.withColumn("_cs_text_sha256", F.sha2(body, 256)).join(beside(groups), ["_cs_fp", "_cs_text_sha256"], "left")
+    joined = joined.withColumn("_cs_group_size", F.coalesce("_cs_count", F.lit(1).cast("long")))
+    joined = joined.withColumn("_cs_keep_id", F.when(F.col("_cs_count").isNull(), F.col("doc_id")).otherwise(F.col("_cs_max")))
+    wins = F.col("doc_id").eqNullSafe(F.col("_cs_keep_id"))
+    columns = [*docs.columns, "_cs_keep_id", "_cs_group_size", "_cs_kept", "_cs_text_sha256"]
+    # Rows that agree in doc_id and text compete; they are only looked for where there are any.
+    rivals = cut(joined.where(wins & (F.col("_cs_group_size") > 1)).groupBy("_cs_fp", "_cs_text_sha256").agg(F.count(F.lit(1)).alias("_cs_n")).where("_cs_n > 1").select("_cs_fp", "_cs_text_sha256"))
+    if not rivals.count():
+        return joined.withColumn("_cs_kept", wins).select(columns)
+    several = beside(rivals.withColumn("_cs_rival", F.lit(True)))
+    joined = joined.join(several, ["_cs_fp", "_cs_text_sha256"], "left")
+    alone = joined.where(F.col("_cs_rival").isNull() | ~wins).withColumn("_cs_kept", wins)
+    # This window is as small as the repeats of one row.
+    first = Window.partitionBy("_cs_fp", "_cs_text_sha256").orderBy(F.lit(1))
+    again = joined.where(F.col("_cs_rival") & wins).withColumn("_cs_kept", F.row_number().over(first) == 1)
+    return alone.select(columns).unionByName(again.select(columns))
 
-    alone = base.join(keys, "_cs_fp", "left_anti").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True), "text_sha256": sha})
-    joined = routed.withColumn("text_sha256", sha).join(groups, ["_cs_fp", "text_sha256"], "inner")
-    wins = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    losers = joined.where(~wins).withColumn("kept", F.lit(False))
-    # Winners of one group are rows that agree in doc_id and text, so this window is as small as the repeats of one row.
-    first = Window.partitionBy("_cs_fp", "text_sha256").orderBy(F.lit(1))
-    winners = joined.where(wins).withColumn("kept", F.row_number().over(first) == 1)
-    columns = [*docs.columns, *out]
-    return alone.select(columns).unionByName(losers.select(columns)).unionByName(winners.select(columns))
+
+def annotate(docs: DataFrame) -> DataFrame:
+    """docs with keep_id, group_size, kept and text_sha256 for every row (columns of these names are replaced)."""
+    out = ("keep_id", "group_size", "kept", "text_sha256")
+    found = _annotated(docs.drop(*out))
+    return found.withColumnsRenamed({f"_cs_{c}": c for c in out})
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with docs' own columns."""
-    return annotate(docs).where("kept").select(docs.columns)
+    """The rows of docs that stay, with docs' own columns, whatever their names."""
+    return _annotated(docs).where("_cs_kept").select(docs.columns)

@@ -45,10 +45,26 @@ def _letters() -> np.ndarray:
     return np.frombuffer(bytes(chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool)
 
 
+#: Characters that are looked at together; longer texts are read in pieces of so many.
+BATCH_CHARS = 1 << 18
+
+
+def batches_of(texts: list[str]) -> Iterator[slice]:
+    """Neighbouring texts of BATCH_CHARS characters together, a longer one by itself."""
+    start = held = 0
+    for k, t in enumerate(texts):
+        if k > start and held + len(t) > BATCH_CHARS:
+            yield slice(start, k)
+            start, held = k, 0
+        held += len(t)
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letters of all texts in lower case, with one 0 for whatever lies between words and around a text; each text's start; its number of letters."""
+    """Letters of all texts in lower case, with one 0 for whatever lies between words and around a text; each code's text; each text's number of letters."""
     lowered = [t.lower() for t in texts]
-    codes = np.frombuffer("".join(f"\x00{t}\x00" for t in lowered).encode("utf-32-le"), "<u4")
+    codes = np.frombuffer("".join(f"\x00{t}\x00" for t in lowered).encode("utf-32-le", "surrogatepass"), "<u4")
     owner = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in lowered])
     letter = _letters()[codes]
     n_letters = np.bincount(owner[letter], minlength=len(texts))
@@ -58,6 +74,20 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, owner[keep], n_letters
 
 
+def _pieces(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """The codes of one long text piece by piece, and each piece's number of letters."""
+    lowered = text.lower()
+    after_letter = True  # the 0 around a text stays
+    for at in range(-1, len(lowered) + 1, BATCH_CHARS):
+        raw = lowered[max(at, 0) : at + BATCH_CHARS]
+        raw = ("\x00" if at < 0 else "") + raw + ("\x00" if at + BATCH_CHARS > len(lowered) else "")
+        codes = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), "<u4")
+        letter = _letters()[codes]
+        keep = letter | np.r_[after_letter, letter[:-1]]
+        after_letter = bool(letter[-1])
+        yield np.where(letter, codes, 0)[keep].astype(np.uint64), int(letter.sum())
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -108,26 +138,44 @@ class LanguageFilters:
             masks = self.table[rows] if masks is None else masks & self.table[rows]
         return masks
 
+    def _add(self, codes: np.ndarray, owner: np.ndarray, n: int, hits: np.ndarray, total: np.ndarray) -> None:
+        h, own = ngrams(codes, owner, n)
+        if len(h) and self.languages:
+            bits = np.unpackbits(self.containing(h), axis=1, bitorder="little")[:, : len(self.languages)]
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            hits[own[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+            total += np.bincount(own, minlength=len(total))
+
+    def _count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: n-grams that each language contains, n-grams, letters."""
+        hits, total = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        if len(texts) > 1 or len(texts[0]) <= BATCH_CHARS:
+            codes, owner, letters = _codes(texts)
+            for n, _ in self.settings.sizes:
+                self._add(codes, owner, n, hits, total)
+            return hits, total, letters
+        letters, before = 0, np.zeros(0, np.uint64)
+        longest = max(n for n, _ in self.settings.sizes)
+        for codes, own_letters in _pieces(texts[0]):
+            letters += own_letters
+            for n, _ in self.settings.sizes:
+                whole = np.r_[before[len(before) - min(n - 1, len(before)) :], codes]
+                self._add(whole, np.zeros(len(whole), np.int64), n, hits, total)
+            before = np.r_[before, codes][-(longest - 1) :]
+        return hits, total, np.array([letters])
+
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        codes, owner, n_letters = _codes(texts)
-        hits = np.zeros((len(texts), len(self.languages)))
-        total = np.zeros(len(texts))
-        for n, _ in self.settings.sizes:
-            h, own = ngrams(codes, owner, n)
-            if len(h) and self.languages:
-                bits = np.unpackbits(self.containing(h), axis=1, bitorder="little")[:, : len(self.languages)]
-                starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                hits[own[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-                total += np.bincount(own, minlength=len(texts))
-        share = hits / np.maximum(total, 1)[:, None]
-        share = np.clip((share - self.false_rate) / (1 - self.false_rate), 0, 1) if self.languages else share
         out = []
-        for k in range(len(texts)):
-            if not n_letters[k] or not total[k] or not self.languages:
-                out.append((UNKNOWN, 0.0))
-            else:
-                best = int(share[k].argmax())
-                out.append((self.languages[best], float(share[k, best])))
+        for part in batches_of(texts):
+            hits, total, letters = self._count(texts[part])
+            share = hits / np.maximum(total, 1)[:, None]
+            share = np.clip((share - self.false_rate) / (1 - self.false_rate), 0, 1) if self.languages else share
+            for k in range(len(total)):
+                if not letters[k] or not total[k] or not self.languages:
+                    out.append((UNKNOWN, 0.0))
+                else:
+                    best = int(share[k].argmax())
+                    out.append((self.languages[best], float(share[k, best])))
         return out
 
 
@@ -151,8 +199,9 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> LanguageFilters:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, part in batch.groupby("lang"):
-                for at in range(0, len(part), 256):
-                    codes, owner, _ = _codes(part["text"].iloc[at : at + 256].tolist())
+                texts = part["text"].tolist()
+                for few in batches_of(texts):
+                    codes, owner, _ = _codes(texts[few])
                     for n, _ in settings.sizes:
                         h, c = np.unique(ngrams(codes, owner, n)[0], return_counts=True)
                         yield pd.DataFrame({"lang": lang, "n": n, "h": h.view(np.int64), "c": c})
@@ -172,11 +221,7 @@ def predict(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
 
     @F.pandas_udf("lang string, score double")
     def of(texts: pd.Series) -> pd.DataFrame:
-        found = []
-        values = texts.fillna("").tolist()
-        for at in range(0, len(values), 256):
-            found += sent.value.predict(values[at : at + 256])
-        return pd.DataFrame(found, columns=["lang", "score"])
+        return pd.DataFrame(sent.value.predict(texts.fillna("").tolist()), columns=["lang", "score"])
 
     docs = docs.drop("lang_pred", "score").withColumn("_cs_found", of("text"))
     return docs.withColumns({"lang_pred": F.col("_cs_found.lang"), "score": F.col("_cs_found.score")}).drop("_cs_found")
@@ -184,11 +229,29 @@ def predict(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
 
 def predict_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row."""
-    found = predict(docs.select("doc_id", "text"), fit(docs, settings))
-    return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, settings))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = sent.value.predict([t or "" for t in part.column(2).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x for x, _ in found]), pa.array([x for _, x in found])], names=["doc_id", "held_out", "lang_pred", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def reject_unknown(docs: DataFrame, min_score: float = 0.15, settings: Settings = Settings()) -> DataFrame:
     """The rows of docs whose language is known: not `und`, and at least min_score of the n-grams explained."""
-    found = predict(docs.withColumn("_cs_row", F.struct(*docs.columns)).select("_cs_row", "text"), fit(docs, settings))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("_cs_row.*")
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, settings))
+    at_text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = sent.value.predict([t or "" for t in part.column(at_text).to_pylist()])
+                yield part.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found]))
+
+    return docs.mapInArrow(run, docs.schema)

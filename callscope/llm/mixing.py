@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callscope.runtime import BROADCAST_ROWS, cut
+from callscope.runtime import BROADCAST_ROWS, beside, cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = 0.6180339887498949
@@ -103,8 +103,7 @@ def schedule(targets: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 def _streams(sizes: DataFrame, targets: DataFrame, mix: Mix) -> DataFrame:
     """Every document with its place in its source's shuffled stream: doc_id, sid, size, bucket, rn, start."""
-    small = targets.count() <= BROADCAST_ROWS
-    side = F.broadcast(targets) if small else targets
+    side = beside(targets)
     placed = sizes.join(side, sizes["source"].eqNullSafe(side["source"])).select("doc_id", "size", "sid", "source_size", "target")
     buckets = max(1, sizes.count() // mix.documents_per_bucket)
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(mix.seed)))
@@ -138,7 +137,7 @@ def mixture(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
     turns = slots.select("slot", "sid", "source_size", "low", "high", width).withColumn("turn", F.explode(F.expr("sequence(low div source_size, (high - 1) div source_size)")))
     turns = turns.withColumn("low", F.greatest(F.col("low") - F.col("turn") * F.col("source_size"), F.lit(0).cast("long"))).withColumn("high", F.least(F.col("high") - F.col("turn") * F.col("source_size"), F.col("source_size")))
     blocks = _in_cells(turns, "low", "high").select("slot", "turn", "sid", "cell", "low", "high")
-    placed = _streams(sizes, targets, mix).join(F.broadcast(widths) if targets.count() <= BROADCAST_ROWS else widths, "sid", "left")
+    placed = _streams(sizes, targets, mix).join(beside(widths), "sid", "left")
     placed = placed.withColumn("width", F.coalesce("width", F.lit(1 << 40).cast("long"))).withColumn("stop", F.col("start") + F.col("size"))
     pieces = _in_cells(placed, "start", "stop").join(blocks, ["sid", "cell"], "left")
     none = F.lit(0).cast("long")
@@ -164,8 +163,7 @@ def mixed_copies(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     rows = turns.groupBy("sid", "bucket", "rn", "doc_id", "size").agg(copies.alias("_cs_copies"))
     # Repeated rows (same doc_id and size) are dealt what their group got, row by row.
     given = rows.groupBy(F.col("doc_id").alias("_cs_id"), F.col("size").alias("_cs_size")).agg(F.sort_array(F.collect_list("_cs_copies")).alias("_cs_given"))
-    given = cut(given)
-    given = F.broadcast(given) if given.count() <= BROADCAST_ROWS else given
+    given = beside(cut(given))
     many = docs.withColumn("_cs_size", words(F.col("text")))
     joined = many.join(given, many["doc_id"].eqNullSafe(given["_cs_id"]) & (many["_cs_size"] == given["_cs_size"]))
     alone = joined.where(F.size("_cs_given") == 1).withColumn("_cs_n", F.col("_cs_given")[0])

@@ -1,12 +1,18 @@
-"""Near-duplicate removal by the exact Jaccard index of word shingles.
-
-MinHash finds candidates: a text has BANDS keys, each of ROWS least hashes of its
-shingles, and two texts that share a key may be alike. An index of 0.8 leaves a pair
-without a common key with probability (1 - 0.8 ** ROWS) ** BANDS, 5e-6. Texts of one
-key are sorted by size and neighbours chained, so that a group of n texts makes n - 1
-edges, never all pairs; a chain breaks where sizes differ by more than the index allows.
-Each connected component of chains is then searched with its texts in hand, and a pair
-is linked only if its exact index is at least LIKE; linked texts leave the search.
+"""SimHash near-duplicate removal, verified by the exact Jaccard index of word shingles.
+
+A text's wide fingerprint has WORDS words of 64 SimHash bits over its distinct
+shingles. Of two texts with a Jaccard index of 0.8 some 15 % of the bits differ (the
+angle between their shingle sets), so candidates agree in all of a few drawn bits
+with a known probability: `tables` keys of `bits` drawn bits each leave out a pair at
+that share with probability MISS. More fingerprints make longer and more keys, so
+that groups of unrelated fingerprints stay small. Within a key's group, tables of
+distances to reference fingerprints discard pairs and the Hamming distance verifies
+the survivors (simhash.links_of_keys); a group reports a spanning forest.
+
+Connected candidates are then searched with their texts in hand, and a pair is
+linked only if its exact index is at least LIKE; linked texts leave the search. A
+component of many texts is dealt to chunks (groups.py), so no task holds more than
+CHUNK_TEXTS of them.
 
 Defined results: words are parted by white space and ASCII case is ignored; a text of
 fewer words than a shingle is one shingle, texts without words are alike; shingles are
@@ -17,24 +23,34 @@ hash of the text; rows equal in both stay together; an empty table gives an empt
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callscope.llm import groups, simhash
 from callscope.operators.components import connected_components
-from callscope.runtime import BROADCAST_ROWS, cut, shuffle_partitions
+from callscope.runtime import beside, cut
 
 SHINGLE_WORDS = 5
 #: The index from which two texts are linked, as a fraction.
 LIKE = (4, 5)
-BANDS, ROWS = 40, 6
+#: 64-bit words of a wide fingerprint.
+WORDS = 4
+#: Share of the bits in which candidates differ at most: what an index of LIKE gives (0.152), and 2.6 deviations.
+MOST_DIFFERING = 0.21
+#: Probability that no key is shared at the share of bits that an index of LIKE gives.
+MISS = 0.005
+#: Unrelated fingerprints in a key's group that are accepted, as a power of two, and the bits of a key at least.
+CROWD, LEAST_BITS = 6, 16
+#: Texts, and bytes of text, of a component that are searched in one task.
+CHUNK_TEXTS, CHUNK_BYTES = 1_000, 8_000_000
 
 
 def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -45,57 +61,96 @@ def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
         return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
     ends = [e + k for k, e in enumerate(accumulate(map(len, found)))]
     starts = [0, *(e + 1 for e in ends)]
-    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :])], np.uint64))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :])), np.uint64, len(found) - words + 1))
+
+
+# ---------------------------------------------------------------- candidates
 
 
 @cache
-def _seeds(name: str, n: int, kind: type) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(f"{name} {k}".encode(), 42) & np.iinfo(kind).max | 1 for k in range(n)], kind)
+def _seeds(name: str, n: int) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(f"{name} {k}".encode(), 42) | 1 for k in range(n)], np.uint64)
+
+
+def wide_fingerprint(own: np.ndarray) -> np.ndarray:
+    """WORDS words of a set of shingles: a bit is 1 if over half of the shingles' mixed hashes have it."""
+    sums = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(own), 4096):
+        h = own[at : at + 4096, None] * _seeds("word", WORDS)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        sums += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(sums * 2 > len(own), bitorder="little").view(np.uint64)
+
+
+def differing_share() -> float:
+    """Share of the bits that differ, on average, in sets of one size with an index of LIKE."""
+    j = LIKE[0] / LIKE[1]
+    return math.acos(2 * j / (1 + j)) / math.pi
+
+
+def key_plan(n: int) -> tuple[int, int]:
+    """(keys of a fingerprint, drawn bits of each) for n fingerprints."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(n, 1))) - CROWD)
+    return math.ceil(math.log(MISS) / math.log1p(-((1 - differing_share()) ** bits))), bits
+
+
+def _drawn(tables: int, bits: int) -> np.ndarray:
+    rng = np.random.default_rng(64 * WORDS)
+    return np.stack([rng.permutation(64 * WORDS)[:bits] for _ in range(tables)])
+
+
+def keyed(fps: DataFrame, tables: int, bits: int) -> DataFrame:
+    """key, f0, f1, ... of every key of every fingerprint."""
+    columns = fps.columns
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn = _drawn(tables, bits)
+        weights, base = np.int64(1) << np.arange(bits, dtype=np.int64), np.arange(tables, dtype=np.int64) << bits
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                words = np.stack([c.to_numpy() for c in part.columns], axis=1)
+                set_bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+                keys = base + (set_bits[:, drawn] @ weights)
+                lists = pa.ListArray.from_arrays(np.arange(len(words) + 1, dtype=np.int32) * tables, pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([lists, *part.columns], names=["keys", *columns])
 
-def band_keys(own: np.ndarray) -> np.ndarray:
-    """BANDS keys of a set of shingles."""
-    scale, shift = _seeds("scale", BANDS * ROWS, np.uint32)[:, None], _seeds("shift", BANDS * ROWS, np.uint32)[:, None]
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
-    high = (own >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(high), 256):  # what fits a core's cache
-        part = high[at : at + 256][None, :] * scale
-        part ^= part >> np.uint32(15)
-        part *= shift
-        np.minimum(least, part.min(axis=1), out=least)
-    mixed = (least.reshape(BANDS, ROWS).astype(np.uint64) * _seeds("row", ROWS, np.uint64)).sum(axis=1, dtype=np.uint64) + _seeds("band", BANDS, np.uint64)
-    mixed ^= mixed >> np.uint64(31)
-    return mixed * np.uint64(0x9E3779B97F4A7C15)
+    made = fps.mapInArrow(run, "keys array<long>, " + ", ".join(f"{c} long" for c in columns))
+    return made.select(F.explode("keys").alias("key"), *columns)
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, h (XXH64 of the text, seed 42), size and keys of every row."""
+    """doc_id, h (XXH64 of the text, seed 42) and the words f0, f1, ... of every row."""
+    names = [f"f{k}" for k in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 texts = part.column(1).to_pylist()
-                sets = [shingles(t, words) for t in texts]
-                keys = np.concatenate([band_keys(s) for s in sets]).view(np.int64)
+                found = np.stack([wide_fingerprint(shingles(t, words)) for t in texts]).view(np.int64)
                 own = np.array([xxhash.xxh64_intdigest((t or "").encode(), 42) for t in texts], np.uint64).view(np.int64)
-                lists = pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * BANDS, pa.array(keys))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own), pa.array([len(s) for s in sets], pa.int32()), lists], names=["doc_id", "h", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=["doc_id", "h", *names])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, h long, " + ", ".join(f"{c} long" for c in names))
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, h long, size int, keys array<long>")
+def candidates(sketches: DataFrame) -> DataFrame:
+    """(h, part) of the texts that may be alike another one; alike texts that were found share a part."""
+    rest = [f"f{k}" for k in range(1, WORDS)]
+    nodes = cut(sketches.groupBy("f0").agg(F.min(F.struct(*rest)).alias("rest"), (F.min("h") != F.max("h")).alias("many")))
+    fps = nodes.select("f0", "rest.*")
+    tables, bits = key_plan(nodes.count())
+    edges = simhash.links_of_keys(fps, partial(keyed, tables=tables, bits=bits), int(64 * WORDS * MOST_DIFFERING))
+    parts = connected_components(edges).toDF("f0", "part")
+    own = parts.unionByName(nodes.where("many").select("f0", F.col("f0").alias("part")).join(parts, "f0", "left_anti"))
+    return sketches.select("h", "f0").distinct().join(beside(cut(own)), "f0").select("h", "part")
 
 
-def _chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edges between neighbours of one key that can be alike by size; rows are sorted by key and size."""
-    last = None
-    for b in batches:
-        key, h, size = b["key"].to_numpy(), b["h"].to_numpy(), b["size"].to_numpy()
-        if last is not None:
-            key, h, size = np.r_[last[0], key], np.r_[last[1], h], np.r_[last[2], size]
-        if len(key):
-            last = key[-1], h[-1], size[-1]
-        ok = (key[1:] == key[:-1]) & (h[1:] != h[:-1]) & (LIKE[1] * size[:-1].astype(np.int64) >= LIKE[0] * size[1:].astype(np.int64))
-        yield pd.DataFrame({"src": np.minimum(h[1:], h[:-1])[ok], "dst": np.maximum(h[1:], h[:-1])[ok]})
+# ---------------------------------------------------------------- exact links
 
 
 def _index(sets: list[np.ndarray], alive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,46 +187,22 @@ def groups_of(sets: list[np.ndarray]) -> np.ndarray:
     return root
 
 
-def _linked(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """h and root of what is linked; rows are sorted by part and h."""
-        part, held, sets = None, [], []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                root = groups_of(sets)
-                own = np.array(held, np.int64)
-                chosen = np.bincount(root, minlength=len(own))[root] > 1
-                if chosen.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(own[chosen]), pa.array(own[root][chosen])], names=["h", "root"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
-                for p, h, text in zip(*(rows.column(k).to_pylist() for k in range(3))):
-                    if p != part:
-                        yield from flush()
-                        part, held, sets = p, [], []
-                    if not held or held[-1] != h:
-                        held.append(h)
-                        sets.append(shingles(text, words))
-        yield from flush()
-
-    return run
-
-
-def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
+def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, chunk_texts: int = CHUNK_TEXTS) -> tuple[DataFrame, DataFrame]:
     """(doc_id and h of every row; h and root of the texts that are linked to another text)."""
     sketches = cut(_sketches(docs, words))
-    parts = shuffle_partitions(docs.sparkSession)
-    keyed = sketches.select("h", "size", F.explode("keys").alias("key")).select("key", "size", "h")
-    edges = keyed.repartition(parts, "key").sortWithinPartitions("key", "size", "h").mapInPandas(_chains, "src long, dst long")
-    members = cut(connected_components(edges).toDF("_cs_h", "_cs_part"))
-    members = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
-    mine = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    texts = docs.select("text", mine.alias("_cs_h")).join(members, "_cs_h").select("_cs_part", "_cs_h", "text")
-    linked = texts.repartition(parts, "_cs_part").sortWithinPartitions("_cs_part", "_cs_h").mapInArrow(_linked(words), "h long, root long")
-    return sketches.select("doc_id", "h"), cut(linked)
+    members = cut(candidates(sketches))
+    own = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h")
+    texts = docs.select(own, "text").join(beside(members), "h").select(F.col("part").alias("g"), F.col("h").alias("item"), "text")
+    sizes = members.groupBy("part").count().where(F.col("count") > 1).select(F.col("part").alias("g"))
+    bytes_of = texts.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("text")).alias("b"))
+    n = F.greatest(F.ceil(F.col("c") / chunk_texts), F.ceil(F.col("b") / CHUNK_BYTES)).cast("long")
+    chunks = bytes_of.select("g", n.alias("n")).where("n > 1").join(sizes, "g", "left_semi")
+
+    def read(columns: list[pa.Array]) -> list:
+        return [shingles(t, words) for t in columns[0].to_pylist()]
+
+    found = cut(groups.links(texts, chunks, read, groups_of, chunk_texts))
+    return sketches.select("doc_id", "h"), cut(connected_components(found).toDF("h", "root"))
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -179,13 +210,10 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     rows, linked = near_groups(docs, words)
     # Texts with one row and no link can't lose a row; the others are few.
     shared = rows.groupBy("h").count().where(F.col("count") > 1).select("h", F.col("h").alias("root"))
-    groups = cut(linked.unionByName(shared.join(linked, "h", "left_anti")))
-    small = groups.count() <= BROADCAST_ROWS
+    found = cut(linked.unionByName(shared.join(linked, "h", "left_anti")))
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h"))
-    members = rows.join(F.broadcast(groups) if small else groups, "h").select("root", "doc_id", "h", rank.alias("rank"))
+    members = rows.join(beside(found), "h").select("root", "doc_id", "h", rank.alias("rank"))
     first = members.groupBy("root").agg(F.min("rank").alias("first"))
-    first = F.broadcast(first) if small else first
     losers = cut(members.join(first, "root").where(~F.col("rank").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_cs_id"), F.col("h").alias("_cs_h")).distinct())
-    losers = F.broadcast(losers) if losers.count() <= BROADCAST_ROWS else losers
     mine = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(losers, docs["doc_id"].eqNullSafe(F.col("_cs_id")) & (mine == F.col("_cs_h")), "left_anti")
+    return docs.join(beside(losers), docs["doc_id"].eqNullSafe(F.col("_cs_id")) & (mine == F.col("_cs_h")), "left_anti")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from callscope.llm import exact_dedup, language_id, mixing, near_dedup, packing
-from callscope.runtime import spill
+from callscope.runtime import remove, spill_to
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.dedup(docs)
 
 
-#: Near copies have a Jaccard index of at least 0.8 of their shingles of five words. The bits are no rule of the stage: the plain code of the tests tells its (nearer) copies by them.
-NEAR_WORDS, NEAR_BITS = 5, 8
+#: Near copies have a Jaccard index of at least 0.8 (near_dedup.LIKE) of their shingles of so many words.
+NEAR_WORDS = 5
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; every stage but the last is written, so that a lost executor repeats one stage at most."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = spill(stage(spark, docs, sf_dir))
+        docs, path = spill_to(stage(spark, docs, sf_dir))
+        if before:  # what the stage has read is written anew
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

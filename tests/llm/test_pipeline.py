@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from callscope.llm.mixing import mix_documents
-from callscope.llm.simhash import fingerprint
+from tests.llm.test_near_dedup import alike, plain_set
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +51,7 @@ def test_stages(spark, table):
     docs = spark.createDataFrame(after, docs.schema)
     out = near(spark, docs, table)
     assert out.columns == columns
-    rows, fps = after, [fingerprint(r.text, corpus_pipeline.NEAR_WORDS) for r in after]
+    rows, sets = after, [plain_set(r.text.lower()) for r in after]
     root = list(range(len(rows)))
 
     def find(x):
@@ -61,7 +61,7 @@ def test_stages(spark, table):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= corpus_pipeline.NEAR_BITS:
+            if alike(sets[i], sets[j]):
                 root[find(i)] = find(j)
     groups = {}
     for k, r in enumerate(rows):
