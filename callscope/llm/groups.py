@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callscope.llm.memory import give_back
 from callscope.operators.components import connected_components
 from callscope.runtime import beside, cut, shuffle_partitions
 
@@ -54,6 +55,7 @@ def labelled(rows: DataFrame, read: Read, roots_of: RootsOf) -> DataFrame:
                         items.append(item)
                         kept.append(x)
         yield from flush()
+        give_back()
 
     dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "g", "chunk").sortWithinPartitions("g", "chunk", "item")
     return dealt.mapInArrow(run, "g long, chunk long, item long, root long")

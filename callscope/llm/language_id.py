@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callscope.llm.memory import give_back
+
 UNKNOWN = "und"
 
 
@@ -237,6 +239,7 @@ def predict_documents(docs: DataFrame, settings: Settings = Settings()) -> DataF
                 part = batch.slice(at, 512)
                 found = sent.value.predict([t or "" for t in part.column(2).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x for x, _ in found]), pa.array([x for _, x in found])], names=["doc_id", "held_out", "lang_pred", "score"])
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -253,5 +256,6 @@ def reject_unknown(docs: DataFrame, min_score: float = 0.15, settings: Settings
                 part = batch.slice(at, 512)
                 found = sent.value.predict([t or "" for t in part.column(at_text).to_pylist()])
                 yield part.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found]))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

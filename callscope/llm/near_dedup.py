@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.llm import groups, simhash
+from callscope.llm.memory import give_back
 from callscope.operators.components import connected_components
 from callscope.runtime import beside, cut
 
@@ -43,14 +44,16 @@ SHINGLE_WORDS = 5
 LIKE = (4, 5)
 #: 64-bit words of a wide fingerprint.
 WORDS = 4
-#: Share of the bits in which candidates differ at most: what an index of LIKE gives (0.152), and 2.6 deviations.
-MOST_DIFFERING = 0.21
+#: Share of the bits in which candidates differ at most: what an index of LIKE gives (0.152), and 3 deviations.
+MOST_DIFFERING = 0.22
 #: Probability that no key is shared at the share of bits that an index of LIKE gives.
-MISS = 0.005
+MISS = 0.001
 #: Unrelated fingerprints in a key's group that are accepted, as a power of two, and the bits of a key at least.
 CROWD, LEAST_BITS = 6, 16
+#: Keys that are looked at before the others.
+FIRST_KEYS = 8
 #: Texts, and bytes of text, of a component that are searched in one task.
-CHUNK_TEXTS, CHUNK_BYTES = 1_000, 8_000_000
+CHUNK_TEXTS, CHUNK_BYTES = 500, 8_000_000
 
 
 def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -102,20 +105,20 @@ def _drawn(tables: int, bits: int) -> np.ndarray:
     return np.stack([rng.permutation(64 * WORDS)[:bits] for _ in range(tables)])
 
 
-def keyed(fps: DataFrame, tables: int, bits: int) -> DataFrame:
-    """key, f0, f1, ... of every key of every fingerprint."""
+def keyed(fps: DataFrame, tables: range, bits: int) -> DataFrame:
+    """key and the columns of fps, for every key of every fingerprint."""
     columns = fps.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drawn = _drawn(tables, bits)
-        weights, base = np.int64(1) << np.arange(bits, dtype=np.int64), np.arange(tables, dtype=np.int64) << bits
+        drawn = _drawn(tables.stop, bits)[tables.start :]
+        weights, base = np.int64(1) << np.arange(bits, dtype=np.int64), np.array(tables, np.int64) << bits
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                words = np.stack([c.to_numpy() for c in part.columns], axis=1)
+                words = np.stack([part.column(f"f{k}").to_numpy() for k in range(WORDS)], axis=1)
                 set_bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
                 keys = base + (set_bits[:, drawn] @ weights)
-                lists = pa.ListArray.from_arrays(np.arange(len(words) + 1, dtype=np.int32) * tables, pa.array(keys.ravel()))
+                lists = pa.ListArray.from_arrays(np.arange(len(words) + 1, dtype=np.int32) * len(tables), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([lists, *part.columns], names=["keys", *columns])
 
     made = fps.mapInArrow(run, "keys array<long>, " + ", ".join(f"{c} long" for c in columns))
@@ -134,19 +137,29 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
                 found = np.stack([wide_fingerprint(shingles(t, words)) for t in texts]).view(np.int64)
                 own = np.array([xxhash.xxh64_intdigest((t or "").encode(), 42) for t in texts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=["doc_id", "h", *names])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, h long, " + ", ".join(f"{c} long" for c in names))
 
 
 def candidates(sketches: DataFrame) -> DataFrame:
-    """(h, part) of the texts that may be alike another one; alike texts that were found share a part."""
+    """(h, part) of the texts that may be alike another one; alike texts that were found share a part.
+
+    The first keys find the families; the others only report links between what does not hang together yet.
+    """
     rest = [f"f{k}" for k in range(1, WORDS)]
     nodes = cut(sketches.groupBy("f0").agg(F.min(F.struct(*rest)).alias("rest"), (F.min("h") != F.max("h")).alias("many")))
     fps = nodes.select("f0", "rest.*")
     tables, bits = key_plan(nodes.count())
-    edges = simhash.links_of_keys(fps, partial(keyed, tables=tables, bits=bits), int(64 * WORDS * MOST_DIFFERING))
-    parts = connected_components(edges).toDF("f0", "part")
-    own = parts.unionByName(nodes.where("many").select("f0", F.col("f0").alias("part")).join(parts, "f0", "left_anti"))
+    most = int(64 * WORDS * MOST_DIFFERING)
+    first = cut(connected_components(simhash.links_of_keys(fps, partial(keyed, tables=range(FIRST_KEYS), bits=bits), most)).toDF("f0", "node"))
+    named = cut(fps.join(beside(first), "f0", "left").withColumn("node", F.coalesce("node", "f0")))
+    others = simhash.links_of_keys(named, partial(keyed, tables=range(FIRST_KEYS, tables), bits=bits), most)
+    second = cut(connected_components(others).toDF("node", "part"))
+    whole = named.select("f0", "node").join(beside(second), "node", "left").join(nodes.select("f0", "many"), "f0")
+    own = whole.where(F.col("part").isNotNull() | (F.col("node") != F.col("f0")) | F.col("many")).select("f0", F.coalesce("part", "node").alias("part"))
+    # A node that others were joined to is its own name, so its family is looked up by the name.
+    own = own.unionByName(first.where("f0 = node").select("f0").join(own, "f0", "left_anti").select("f0", F.col("f0").alias("part")))
     return sketches.select("h", "f0").distinct().join(beside(cut(own)), "f0").select("h", "part")
 
 

@@ -31,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callscope.llm.memory import give_back
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -66,7 +68,7 @@ class OpenSequence:
 #: The byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Units held per worker before the cache starts again.
-CACHE_UNITS = 500_000
+CACHE_UNITS = 200_000
 #: White space as the pattern's \s has it (Python's has four control characters more).
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
@@ -260,6 +262,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits
                     yield packer.flush()
         packer.finish()
         yield packer.flush()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(pack, PIECES_DDL)
 

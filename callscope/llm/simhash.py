@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.llm import groups
+from callscope.llm.memory import give_back
 from callscope.operators.components import connected_components
 from callscope.runtime import beside, cut, shuffle_partitions
 
@@ -77,6 +78,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
                 found = np.array([fingerprint(t, shingle_words) for t in texts], np.uint64).view(np.int64)
                 own = np.array([xxhash.xxh64_intdigest((t or "").encode(), 42) for t in texts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found), pa.array(own)], names=["doc_id", "fp", "h"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, fp long, h long")
 
@@ -172,7 +174,8 @@ def references_of(fps: np.ndarray, max_distance: int) -> np.ndarray:
     return fps[np.linspace(0, len(fps) - 1, min(8, len(fps))).astype(np.int64)]
 
 
-def _link_groups(max_distance: int):
+def _link_groups(max_distance: int, named: bool):
+    """named: a column `node` says what a fingerprint already hangs together with; else its first word names it."""
     def links(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
         """Pairs of places; rows are sorted by key."""
         group = np.cumsum(np.r_[0, keys[1:] != keys[:-1]])
@@ -193,10 +196,11 @@ def _link_groups(max_distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_f = [], []
 
-        def flush(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-            out = links(keys, fps)
+        def flush(keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            out = links(keys, rows[:, 1:] if named else rows)
+            out = np.sort(rows[out, 0].view(np.int64), axis=1)
+            out = np.unique(out[out[:, 0] != out[:, 1]], axis=0)
             if len(out):
-                out = np.unique(np.sort(fps[out, 0].view(np.int64), axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["src", "dst"])
 
         for b in batches:
@@ -216,6 +220,7 @@ def _link_groups(max_distance: int):
             held_k, held_f = [keys[last:]], [fps[last:]]
         if sum(map(len, held_k)):
             yield from flush(np.concatenate(held_k), np.concatenate(held_f))
+        give_back()
 
     return run
 
@@ -223,16 +228,17 @@ def _link_groups(max_distance: int):
 def links_of_keys(distinct: DataFrame, keyed: Callable[[DataFrame], DataFrame], max_distance: int, most: int = LARGE_GROUP) -> DataFrame:
     """Links (src, dst) that connect, within each group of equal keys, what all its pairs at `max_distance` would.
 
-    distinct: fingerprints in columns f0, f1, ..., each f0 once, which names them; keyed gives one row for each
-    key of a fingerprint, in a column `key`. A key of many rows is found by a sample of the fingerprints (one in SAMPLE;
-    a key that it misses is only searched at once) and dealt to chunks.
+    distinct: fingerprints in columns f0, f1, ..., each f0 once, which names them, unless a column `node` says
+    what they already hang together with; links of a node to itself are left out. keyed gives one row for each
+    key of a fingerprint, in a column `key`. A key of many rows is found by a sample of the fingerprints (one in
+    SAMPLE; a key that it misses is only searched at once) and dealt to chunks.
     """
     parts = shuffle_partitions(distinct.sparkSession)
-    words = distinct.columns
+    named = "node" in distinct.columns
+    words = [c for c in distinct.columns if c != "node"]
+    columns = ["node", *words] if named else words
     rows, n = keyed(distinct), distinct.count()
-    search = _link_groups(max_distance)
-    small = rows
-    large = None
+    small, large = rows, None
     if n > most:
         drawn = distinct.where(F.pmod(F.xxhash64(F.lit("draw"), *words), F.lit(SAMPLE)) == 0)
         heavy = cut(keyed(drawn).groupBy("key").count().where(F.col("count") * SAMPLE > most).select(F.col("key").alias("g"), F.ceil(F.col("count") * (2 * SAMPLE) / most).cast("long").alias("n")))
@@ -240,15 +246,20 @@ def links_of_keys(distinct: DataFrame, keyed: Callable[[DataFrame], DataFrame],
             small = rows.join(beside(heavy), rows["key"] == F.col("g"), "left_anti")
             own = rows.withColumnRenamed("key", "g").join(beside(heavy.select("g")), "g", "left_semi").select("g", F.col(words[0]).alias("item"), *words)
 
-            def read(columns: list[pa.Array]) -> list:
-                return list(np.stack([c.to_numpy() for c in columns], axis=1).view(np.uint64))
+            def read(found: list[pa.Array]) -> list:
+                return list(np.stack([c.to_numpy() for c in found], axis=1).view(np.uint64))
 
             def roots_of(kept: list) -> np.ndarray:
                 fps = np.array(kept)
                 return tree_roots(fps, distances(fps, references_of(fps, max_distance)), max_distance)
 
-            large = groups.links(own, heavy, read, roots_of, most).toDF("src", "dst")
-    found = small.select("key", *words).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(search, "src long, dst long")
+            large = groups.links(own, heavy, read, roots_of, most).distinct().toDF("src", "dst")
+            if named:
+                names = distinct.select(F.col(words[0]).alias("name"), "node")
+                large = large.join(names, F.col("src") == F.col("name")).select(F.col("node").alias("src"), "dst")
+                large = large.join(names, F.col("dst") == F.col("name")).select("src", F.col("node").alias("dst")).where("src != dst")
+    dealt = small.select("key", *columns).repartition(parts, "key").sortWithinPartitions("key")
+    found = dealt.mapInArrow(_link_groups(max_distance, named), "src long, dst long")
     return found if large is None else found.unionByName(large)
 
 
