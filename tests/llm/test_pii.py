@@ -71,3 +71,55 @@ def test_repeats_and_empty(spark):
     docs = spark.createDataFrame([(1, "a@b.cc"), (1, "a@b.cc"), (None, None)], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.spans) for r in scan(docs).collect()) == [("1", "email:0:6"), ("1", "email:0:6"), ("None", "")]
     assert scan(docs.limit(0)).count() == 0
+
+
+def test_overlapping_proposals(spark):
+    """The right one of overlapping spans is chosen, next to years and in lists."""
+    texts = ["call 555-123-4567 555-987-6543 now", "SSN 123-45-6789 2021", "from fe80::8a2e:370:7334 today", "IBAN DE89 3704 0044 0532 0130 00 2021", "card 4111 1111 1111 1111, phone 555-123-4567"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: [texts[r.doc_id][int(s):int(e)] for kind, s, e in (x.split(":") for x in r.spans.split(",")) if kind != "card"] for r in scan(docs).collect()}
+    assert got == {0: ["555-123-4567", "555-987-6543"], 1: ["123-45-6789"], 2: ["fe80::8a2e:370:7334"], 3: ["DE89 3704 0044 0532 0130 00"], 4: ["555-123-4567"]}
+
+
+def test_choice_equals_plain_code(spark):
+    """Base spans shut candidates out; of overlapping candidates the better stays."""
+    from pyspark.sql import functions as F
+
+    from callscope.llm.pii import _chosen
+
+    rng = random.Random(8)
+    rows = []
+    for k in range(300):
+        spans = lambda n: [(s := rng.randrange(60 if k else 9000), s + rng.randrange(1, 12)) for _ in range(n)]  # noqa: B023, E731
+        many = 2000 if k == 0 else rng.randrange(9)
+        rows.append((k, spans(many // 2), [(0, s, e, "m", float(rng.randrange(4))) for s, e in spans(many)]))
+    df = spark.createDataFrame(rows, "k int, base array<struct<s:int,e:int>>, scored array<struct<kind:int,s:int,e:int,m:string,odds:double>>").repartition(3)
+    got = {r.k: [(x.s, x.e) for x in r.out] for r in df.select("k", _chosen(F.col("base"), F.col("scored")).alias("out")).collect()}
+    for k, base, scored in rows:
+        held, out = None, []
+        for s, e, o in sorted((s, e, o) for _, s, e, _, o in scored if all(e <= b or s >= d for b, d in base)):
+            if held and s >= held[1]:
+                out.append(held[:2])
+                held = None
+            if held is None or (o, e - s) > (held[2], held[1] - held[0]):
+                held = (s, e, o)
+        assert got[k] == out + ([held[:2]] if held else [])
+        assert all(e <= b or s >= d for s, e in got[k] for b, d in base) and all(a[1] <= b[0] for a, b in zip(got[k], got[k][1:]))
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    text = " ".join(f"555-{k % 900 + 100}-{k % 9000 + 1000}" for k in range(100_000))
+    docs = spark.createDataFrame([(0, "phone " + text)], "doc_id int, text string")
+    scan(docs.limit(0)).count()
+    began = time.time()
+    r = scan(docs).collect()[0]
+    assert len(r.spans) > 1_000_000 and time.time() - began < 60
+
+
+def test_audit(spark):
+    from callscope.llm.pii import audit
+
+    docs = spark.createDataFrame([(0, "IBAN DE89 3704 0044 0532 0130 00 or IBAN DE88 3704 0044 0532 0130 00"), (1, "SSN 219-09-9999, SSN 000-12-3456")], "doc_id int, text string")
+    assert sorted(tuple(r) for r in audit(docs).collect()) == [("account", 2, 1), ("social", 2, 1)]
