@@ -88,27 +88,50 @@ def _kinds(text: str) -> int:
 
 
 def entropy_spans(text: str) -> list[tuple[int, int]]:
+    """Spans by their starts; none overlaps another. Classes are swept one by one: a candidate within a span found before is known, one that is wider replaces what it overlaps."""
     found: list[tuple[int, int]] = []
     for cls in CLASSES:
+        new, at = [], 0
         for m in cls.pattern.finditer(text):
             candidate = m.group()
-            if _kinds(candidate) < cls.kinds or any(a.fullmatch(candidate) for a in ALLOW_LIST) or any(s <= m.start() and m.end() <= e for s, e in found):
+            if _kinds(candidate) < cls.kinds or any(a.fullmatch(candidate) for a in ALLOW_LIST):
                 continue
-            if any(h >= cls.bits for h in window_entropies(candidate)):
-                found = [(s, e) for s, e in found if e <= m.start() or m.end() <= s] + [m.span()]
+            while at < len(found) and found[at][1] <= m.start():
+                at += 1
+            inside = at < len(found) and found[at][0] <= m.start() and m.end() <= found[at][1]
+            if not inside and any(h >= cls.bits for h in window_entropies(candidate)):
+                new.append(m.span())
+        if new:
+            kept, at = [], 0
+            for s, e in found:
+                while at < len(new) and new[at][1] <= s:
+                    at += 1
+                if at == len(new) or e <= new[at][0]:
+                    kept.append((s, e))
+            found = sorted(kept + new)
     return found
 
 
-def _outside(span: tuple[int, int], base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
-    """What of a span lies in no base span; those are sorted by their starts."""
-    at, end = span
+def _outside(spans: list[tuple[int, int]], base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """What of the spans lies in no base span; both are sorted by their starts and swept together."""
+    whole: list[list[int]] = []  # base spans, overlapping ones joined
     for s, e, _ in base:
-        if e > at and s < end:
-            if s > at:
-                yield at, s
-            at = e
-    if at < end:
-        yield at, end
+        if whole and s <= whole[-1][1]:
+            whole[-1][1] = max(whole[-1][1], e)
+        else:
+            whole.append([s, e])
+    k = 0
+    for at, end in spans:
+        while k < len(whole) and whole[k][1] <= at:
+            k += 1
+        j = k
+        while j < len(whole) and whole[j][0] < end:
+            if whole[j][0] > at:
+                yield at, whole[j][0]
+            at = max(at, whole[j][1])
+            j += 1
+        if at < end:
+            yield at, end
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -122,7 +145,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     """The base spans and all spans of a text, as (start, end, kind)."""
     text = text or ""
     base = base_spans(text)
-    added = [(s, e, "entropy") for span in entropy_spans(text) for s, e in _outside(span, base)]
+    added = [(s, e, "entropy") for s, e in _outside(entropy_spans(text), base)]
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -3,7 +3,8 @@
 The pre-tokens new to a task are held together as one ragged numpy array of symbols.
 Each round looks up the rank of every adjacent pair, applies each sequence's
 lowest-rank pair at all its places simultaneously and drops the sequences that have
-no pair left; what survives is counted. Rules, merges and special strings come from
+no pair left; what survives is counted. A long pre-token is merged by itself, its
+places held by rank, so that a round only touches what it merges. Rules, merges and special strings come from
 the tokenizer's own file.
 
 Defined results: a null text is empty and has no token; repeated rows are counted
@@ -12,6 +13,7 @@ alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 #: Strings between single spaces that a worker remembers before it starts again.
 CACHE_UNITS = 300_000
 NO_RANK = np.iinfo(np.int64).max
+#: Bytes of a pre-token beyond which it is merged by itself.
+LONG = 512
 
 
 class RankMerger:
@@ -49,8 +53,60 @@ class RankMerger:
         at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
         return np.where(self.keys[at] == want, self.order[at], NO_RANK)
 
+    def count_long(self, token: bytes) -> int:
+        """One long pre-token. Places wait in a heap by their pair's rank; each round merges all places of the lowest one and looks up only the pairs beside them."""
+        n = len(token)
+        symbols = self.inner[np.frombuffer(token, np.uint8)]
+        symbols[-1] = self.final[token[-1]]
+        before, after = np.arange(-1, n - 1, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32)
+        rank = np.full(n, NO_RANK, np.int64)
+        left, waiting, heap = n, {}, []
+
+        def wait(at: np.ndarray) -> None:
+            """Look up the pairs that begin at these places."""
+            at = at[after[at] < n]
+            found = rank[at] = self._ranks(symbols[at], symbols[after[at]])
+            at, found = at[found != NO_RANK], found[found != NO_RANK]
+            order = np.argsort(found, kind="stable")
+            at, found = at[order], found[order]
+            starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else found
+            for r, part in zip(found[starts].tolist(), np.split(at, starts[1:])):
+                if r not in waiting:
+                    heapq.heappush(heap, r)
+                    waiting[r] = []
+                waiting[r].append(part)
+
+        wait(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            # A pair of equal symbols can overlap itself: keep every second place of a run.
+            fresh = np.r_[True, after[at[:-1]] != at[1:]]
+            first = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+            gone = after[at]
+            symbols[at], rank[gone], after[at] = self.made[r], NO_RANK, after[gone]
+            rank[at] = NO_RANK
+            inner = after[at] < n
+            before[after[at][inner]] = at[inner]
+            left -= len(at)
+            beside = before[at]
+            wait(np.unique(np.r_[at, beside[beside >= 0]]))
+        return left
+
     def counts(self, tokens: list[bytes]) -> np.ndarray:
         """tokens: none empty."""
+        long = [k for k, t in enumerate(tokens) if len(t) > LONG]
+        if long:
+            out = np.array([0 if len(t) > LONG else 1 for t in tokens], np.int64)
+            short = np.flatnonzero(out)
+            if len(short):
+                out[short] = self.counts([tokens[k] for k in short])
+            out[long] = [self.count_long(tokens[k]) for k in long]
+            return out
         lengths = np.array([len(t) for t in tokens], np.int64)
         symbols = self.inner[np.frombuffer(b"".join(tokens), np.uint8)]
         ends = np.cumsum(lengths)

@@ -31,3 +31,26 @@ def test_whole_texts_nulls_and_repeats(spark):
     want = sorted((str(i), len((t or "").encode()), n := len(TOKENIZER.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in rows)
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in out.collect()) == want
     assert count_tokens(docs.limit(0), PATH).count() == 0
+
+
+def test_long_pretokens():
+    """Half a million letters without a space, at random and in one run, against the library."""
+    import random
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from callscope.llm.token_counts import TokenCounter
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, counter = Tokenizer.from_file(path), TokenCounter(path)
+    library.no_truncation(), library.no_padding()
+    rng = random.Random(3)
+    for letters, n in (("abcdefghijklmnopqrstuvwxyz", 700), ("etaoin", 5000), ("ab", 3001), ("a", 4001), ("éaü漢", 2000)):
+        text = "".join(rng.choices(letters, k=n))
+        assert counter.count([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
+    began = time.time()
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=500_000))
+    n = counter.count([text])[0]
+    assert time.time() - began < 60 and 100_000 < n < 500_000
