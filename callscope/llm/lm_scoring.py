@@ -1,9 +1,11 @@
 """Language-model scores by a weighted backoff automaton.
 
-Words are states. The arc from v to w carries the smoothed bigram's weight; a pair
-without an arc takes v's failure arc to the root, whose arcs are the smoothed words.
-One left-to-right traversal of a text carries the state and adds up the arcs'
-log-probabilities; the state after a text's end is the state before the next text.
+Words seen in training are states. The arc from v to w, for each pair seen in
+training, carries the smoothed bigram's weight; where v has no arc for a word, its
+failure arc leads to the root, whose arcs are the smoothed words. A left-to-right
+traversal carries the state and adds up the arcs' log-probabilities; the state after
+a text's end is the state before the next text. The order is 2: trigram keys would
+take more disk for the shuffle than 4 times the input.
 
     P1(w)    = (c(w) + 0.1) / (N + 0.1 (V + 1))
     P(w | v) = (c(v, w) + mu P1(w)) / (c(v) + mu)        failure arc: mu / (c(v) + mu)
@@ -209,19 +211,63 @@ def _answer(bits: int):
 # ---------------------------------------------------------------- scores
 
 
+#: Tokens that a lane of the traversal reads.
+LANE = 256
+
+
 class BackoffAutomaton:
-    """States are words. arc: log10 weight for each pair. A traversal is one pass over the tokens' pairs."""
+    """State 0 is the root, state w + 1 the history of word w. Arcs are sorted by (state, word); every state but the root has a failure arc.
+
+    words, pairs: training counts of the chunk's words and pairs. A word that was never
+    seen has no state of its own: it leads to the root.
+    """
 
     def __init__(self, words: np.ndarray, pairs: np.ndarray, pair_from: np.ndarray, pair_to: np.ndarray, total: int, distinct: int, mu: float):
+        self.width = len(words)
         root = (words + 0.1) / (total + 0.1 * (distinct + 1))
-        self.root = np.log10(root)
-        failure = mu / (words + mu)
-        # Where a pair was never seen its arc is the failure arc and then the root's.
-        self.arc = np.log10(pairs / (words[pair_from] + mu) + failure[pair_from] * root[pair_to])
-
-    def traverse(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """tokens: every token's pair. The log-probability of each text."""
-        return np.add.reduceat(self.arc[tokens], starts)
+        self.root_weight, self.root_to = np.log10(root), np.where(words > 0, np.arange(1, self.width + 1), 0)
+        self.failure_weight, self.failure_to = np.r_[0.0, np.log10(mu / (words + mu))], np.zeros(self.width + 1, np.int64)
+        seen = pairs > 0
+        source, label = pair_from[seen], pair_to[seen]
+        key = (source + 1) * self.width + label
+        order = np.argsort(key)
+        self.arc_key, self.arc_to = key[order], self.root_to[label][order]
+        self.arc_weight = np.log10((pairs[seen] + mu * root[label]) / (words[source] + mu))[order]
+
+    def step(self, state: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next state, weight) of each lane: along the state's arc, or along failure arcs until a state has one; the root has all."""
+        state, weight, following = state.copy(), np.zeros(len(state)), np.empty(len(state), np.int64)
+        lanes = np.arange(len(state))
+        while len(lanes):
+            own, word = state[lanes], label[lanes]
+            key = own * self.width + word
+            at = np.minimum(np.searchsorted(self.arc_key, key), max(len(self.arc_key) - 1, 0))
+            hit = self.arc_key[at] == key if len(self.arc_key) else np.zeros(len(lanes), bool)
+            weight[lanes[hit]] += self.arc_weight[at[hit]]
+            following[lanes[hit]] = self.arc_to[at[hit]]
+            rooted = own == 0
+            weight[lanes[rooted]] += self.root_weight[word[rooted]]
+            following[lanes[rooted]] = self.root_to[word[rooted]]
+            failed = ~hit & ~rooted
+            lanes, own = lanes[failed], own[failed]
+            weight[lanes] += self.failure_weight[own]
+            state[lanes] = self.failure_to[own]
+        return following, weight
+
+    def traverse(self, tokens: np.ndarray, starts: np.ndarray, first: int) -> np.ndarray:
+        """The log-probability of each text of a stream; first: the word before the stream.
+
+        The stream is read from left to right in lanes of LANE tokens, side by side. A
+        state holds one word of history, so the word before a lane gives its state.
+        """
+        begin = np.arange(0, len(tokens), LANE)
+        state = self.root_to[np.r_[first, tokens[begin[1:] - 1]]]
+        weights = np.empty(len(tokens))
+        for t in range(min(LANE, len(tokens))):
+            at = begin + t
+            at = at[at < len(tokens)]  # only the last lane can be shorter
+            state, weights[at] = self.step(state[: len(at)], tokens[at])
+        return np.add.reduceat(weights, starts)
 
 
 SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -244,7 +290,7 @@ def _score(total: int, distinct: int, mu: float):
         return pd.DataFrame({
             "doc_id": pd.array([None if i is None else int(i) for i in chunk.ids], dtype="Int64"), "held_out": chunk.out, "n_tokens": chunk.lengths,
             "n_known": np.add.reduceat((words > 0)[chunk.tokens].astype(np.int64), chunk.starts), "train_tokens": total,
-            "base_score": np.add.reduceat(automaton.root[chunk.tokens], chunk.starts), "score": automaton.traverse(where, chunk.starts),
+            "base_score": np.add.reduceat(automaton.root_weight[chunk.tokens], chunk.starts), "score": automaton.traverse(chunk.tokens, chunk.starts, chunk.end),
         })
 
     return score

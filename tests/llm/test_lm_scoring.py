@@ -67,3 +67,36 @@ def test_empty_and_untrained(spark):
     [row] = score_documents(docs).collect()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (True, 3, 0, 0, 0.0)
     assert score_documents(docs.limit(0)).count() == 0
+
+
+def test_automaton_walks_arcs_and_failure_arcs():
+    """Lanes give what one walk, token by token, over plain dictionaries gives."""
+    import math
+
+    import numpy as np
+
+    from callscope.llm.lm_scoring import LANE, BackoffAutomaton
+
+    rng = np.random.default_rng(5)
+    n, mu = 40, 3.0
+    words = np.r_[rng.integers(1, 30, 30), np.zeros(10)].astype(float)
+    known = [(v, w) for v in range(30) for w in range(30) if rng.random() < 0.2]
+    unseen = [(v, w) for v in range(n) for w in range(n) if rng.random() < 0.1 and (v, w) not in set(known)]
+    pairs = {p: float(rng.integers(1, 5)) for p in known} | {p: 0.0 for p in unseen}
+    at = np.array(list(pairs))
+    total, distinct = int(words.sum()), 30
+    automaton = BackoffAutomaton(words, np.array(list(pairs.values())), at[:, 0], at[:, 1], total, distinct, mu)
+    assert len(automaton.arc_key) == len(known)  # no arc for what training does not hold
+    tokens = rng.integers(0, n, 3 * LANE + 17)
+    starts = np.array([0, 1, 300, 700])
+    want, state = [], 7
+    for w in tokens.tolist():
+        root = (words[w] + 0.1) / (total + 0.1 * (distinct + 1))
+        if state is not None and pairs.get((state, w), 0) > 0:
+            want.append(math.log10((pairs[state, w] + mu * root) / (words[state] + mu)))
+        else:
+            want.append(math.log10(root) + (math.log10(mu / (words[state] + mu)) if state is not None else 0.0))
+        state = w if words[w] > 0 else None
+    assert np.allclose(automaton.traverse(tokens, starts, 7), np.add.reduceat(want, starts))
+    empty = BackoffAutomaton(np.zeros(3), np.zeros(0), np.zeros(0, int), np.zeros(0, int), 0, 0, mu)
+    assert np.allclose(empty.traverse(np.array([0, 2]), np.array([0]), 1), 0.0)
