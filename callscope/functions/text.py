@@ -83,6 +83,18 @@ def user_template_text(messages: Column) -> Column:
     return F.when(has_system(messages), F.substring(first_user_text(messages), 1, IDENTITY_CHARS)).otherwise(F.lit(""))
 
 
+def spaced_json(compact: Column) -> Column:
+    """JSON text without spaces as the common writer spaces it: one after each comma and colon that is no part of a string."""
+    marked = F.regexp_replace(compact, r'("(?:[^"\\\\]|\\\\.)*+"|[^",:]++)([,:]?)', "$1$2\x01")
+    return F.regexp_replace(F.regexp_replace(marked, "([,:])\x01", "$1 "), "\x01", "")
+
+
+def dumped_length(compact: Column) -> Column:
+    """Characters of JSON text once it is spaced and all but ASCII is escaped (six characters, twelve beyond the first plane)."""
+    count = lambda pattern: F.length(compact) - F.length(F.regexp_replace(compact, pattern, ""))
+    return F.length(spaced_json(compact)) + 5 * count(r"[\x{80}-\x{FFFF}]") + 11 * count(r"[\x{10000}-\x{10FFFF}]")
+
+
 def common_prefix_length(a: Column, b: Column) -> Column:
     """Characters that two strings begin alike. With the least and the greatest of a set, that of the whole set."""
     low, high = F.split(a, ""), F.split(b, "")

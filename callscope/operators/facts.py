@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callscope.functions.text import SYSTEM_ROLES, first_user_text, has_system, lines, of_roles, prompt_text, role_sequence, role_shape, tokens, user_template_text
+from callscope.functions.text import SYSTEM_ROLES, dumped_length, first_user_text, has_system, lines, of_roles, prompt_text, role_sequence, role_shape, tokens, user_template_text
 
 #: Rules of the flags.
 CACHE_MINIMUM = 1024
@@ -36,8 +36,10 @@ def call_facts(calls: DataFrame) -> DataFrame:
     system = _chars(of_roles(messages, *SYSTEM_ROLES))
     user = _chars(of_roles(messages, "user"))
     other = F.filter(messages, lambda m: ~m["role"].isin(*SYSTEM_ROLES, "user"))
-    # A message's tool calls count as their JSON list, of which an empty one has two characters.
-    history = F.aggregate(other, F.lit(0).cast("long"), lambda n, m: n + F.length(F.coalesce(m["content"], F.lit(""))) + F.greatest(F.lit(2), F.length(F.to_json(m["tool_calls"]))))
+    # A message's tool calls count as their whole JSON, arguments included; none, or an empty list, has two characters.
+    whole = "calls_json" in calls.schema["messages"].dataType.elementType.fieldNames()
+    called = lambda m: dumped_length(F.when(m["calls_json"].isin("null", "false", "0", '""', "{}"), None).otherwise(m["calls_json"]) if whole else F.to_json(m["tool_calls"]))
+    history = F.aggregate(other, F.lit(0).cast("long"), lambda n, m: n + F.length(F.coalesce(m["content"], F.lit(""))) + F.coalesce(F.greatest(F.lit(2), called(m)), F.lit(2)))
     schema = F.aggregate("tools", F.lit(0).cast("long"), lambda n, t: n + F.length(F.coalesce(t["schema_json"], F.lit(""))))
     prose = F.concat(lines(F.array_join(of_roles(messages, *SYSTEM_ROLES), "\n")), lines(F.array_join(of_roles(messages, "user"), "\n")))
     df = calls.withColumns({

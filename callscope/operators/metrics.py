@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callscope.functions.text import SYSTEM_ROLES, common_prefix_length, nearest_rank, of_roles, tokens, upper_median
+from callscope.functions.text import SYSTEM_ROLES, common_prefix_length, nearest_rank, of_roles, spaced_json, tokens, upper_median
 from callscope.operators.segment import line_split, segmentation
 from callscope.settings import Settings
 
@@ -14,7 +14,10 @@ REGIONS = ("instructions", "the user turn", "conversation history", "tool schema
 
 def request_document(messages: Column, tools: Column) -> Column:
     """A whole request as one text: its tools, then every message, in wire order."""
-    tool = F.transform(tools, lambda t: F.concat_ws("\n", F.concat(F.lit("TOOL "), F.coalesce(t["name"], F.lit("")), F.lit(": "), F.coalesce(t["description"], F.lit(""))), t["schema_json"]))
+    # Of a tool's JSON only its parameters, whose names a variant keeps sorted.
+    given = lambda t: F.try_variant_get(F.try_parse_json(t["schema_json"]), "$.function.parameters", "variant")
+    parameters = lambda t: F.when(~F.to_json(given(t)).isin("null", "{}", "[]", '""', "0", "false"), spaced_json(F.to_json(given(t))))
+    tool = F.transform(tools, lambda t: F.concat_ws("\n", F.concat(F.lit("TOOL "), F.coalesce(t["name"], F.lit("")), F.lit(": "), F.coalesce(t["description"], F.lit(""))), parameters(t)))
     turn = F.transform(messages, lambda m: F.concat(F.lit("["), F.coalesce(m["role"], F.lit("")), F.lit("] "), F.coalesce(m["content"], F.lit(""))))
     return F.array_join(F.concat(tool, turn), "\n")
 

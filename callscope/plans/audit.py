@@ -39,10 +39,12 @@ class Audit:
         Path(path).write_text(self.markdown())
 
 
-#: Dollars for a million prompt and completion tokens.
+#: Dollars for a million prompt and completion tokens, and those of a model that isn't listed.
 PRICES = {"gpt-4o": (2.50, 10.00), "gpt-4o-mini": (0.15, 0.60), "gpt-4.1": (2.00, 8.00), "gpt-4.1-mini": (0.40, 1.60)}
 
+OTHER_PRICE = (1.00, 4.00)
+
 
 def estimate_cost(model: str, prompt_tokens: int, completion_tokens: int) -> float:
-    prompt, completion = next((p for name, p in sorted(PRICES.items(), key=lambda kv: -len(kv[0])) if model.startswith(name)), (0.0, 0.0))
+    prompt, completion = PRICES.get(model, OTHER_PRICE)
     return (prompt_tokens * prompt + completion_tokens * completion) / 1e6

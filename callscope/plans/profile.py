@@ -96,16 +96,19 @@ def _verify(spark: SparkSession, grouping: identity.Grouping, assigned: DataFram
     else:
         from callscope.sources.gateway import systematic_sample
 
-        sampled = systematic_sample(assigned, ["node_id"], ["ts", "request_id"], judging.SAMPLES).select("node_id", metrics.request_document(F.col("messages"), F.col("tools")).alias("text")).collect()
+        sampled = systematic_sample(assigned, ["node_id"], ["ts", "request_id"], judging.SAMPLES).select("node_id", "app_id", metrics.request_document(F.col("messages"), F.col("tools")).alias("text")).collect()
         texts: dict[str, list[str]] = {}
+        app_of: dict[str, str] = {}
         for r in sampled:
             texts.setdefault(r["node_id"], []).append(r["text"])
+            app_of[r["node_id"]] = r["app_id"]
         names = sorted(texts)
         out = []
-        for k, name in enumerate(names):
+        for name in names:
             pure, claims = judging.audit_profile(judge, [f"{len(texts[name])} samples share one template"], texts[name])
-            other = names[(k + 1) % len(names)]
-            boundary = judging.intruder(judge, (texts[name] * 2)[:2], texts[other][0], name) if other != name else None
+            # The intruder comes from another node of the same app, the first by name.
+            other = next((o for o in names if o != name and app_of[o] == app_of[name]), None)
+            boundary = judging.intruder(judge, (texts[name] * 2)[:2], texts[other][0], name) if other is not None else None
             out.append((name, pure, claims, boundary))
         rows = spark.createDataFrame(out, ddl)
     return rows.withColumn("verdict", judging.conclude(F.col("pure"), F.col("claims"), F.col("boundary")))

@@ -63,7 +63,7 @@ def app_ids(mapping: Mapping) -> Column:
 def validate(rows: DataFrame, mapping: Mapping = Mapping()) -> DataFrame:
     """rows with status (`loaded`, or why not), the parsed request and response, and the app ids."""
     kind = F.trim(F.coalesce(F.col(mapping.call_type), F.lit("")))
-    chat = (kind == "") | kind.isin(*mapping.chat_types)
+    chat = (kind == "") | kind.isin(*mapping.chat_types) if mapping.chat_types else F.lit(True)  # no types: nothing is filtered
     df = rows.withColumn("_request", F.when(chat, json_object(F.col(mapping.request)))).withColumn("_response", json_object(F.col(mapping.response)))
     df = df.withColumn("_ids", app_ids(mapping)).withColumn("_id_values", F.array_distinct(F.array_compact("_ids")))
     messages = F.try_variant_get("_request", "$.messages", "array<variant>")
@@ -86,7 +86,7 @@ def load_report(checked: DataFrame, mapping: Mapping = Mapping()) -> DataFrame:
         *(F.count_if(F.col("status") == s).alias(f"skipped_{s}") for s in ("non_chat", "unparseable", "no_app_id", "no_messages")),
         F.count_if(parsed & (F.size("_id_values") > 1)).alias("app_id_disagreements"),
         *(F.count_if(has_id & (first == p)).alias(f"from_{k}") for k, p in enumerate(mapping.app_id_paths)),
-        F.count_if((F.col("status") == "loaded") & (usage.isNull() | ~_is("OBJECT", usage))).alias("missing_usage"),
+        F.count_if((F.col("status") == "loaded") & (usage.isNull() | ~_is("OBJECT", usage) | (F.to_json(usage) == "{}"))).alias("missing_usage"),
     )
 
 
@@ -97,7 +97,7 @@ def calls(checked: DataFrame, mapping: Mapping = Mapping(), settings: Settings =
     get = lambda v, path, t="string": F.try_variant_get(v, path, t)
     content = lambda m: F.when(F.schema_of_variant(get(m, "$.content", "variant")) == "STRING", get(m, "$.content")).when(get(m, "$.content", "variant").isNull() | F.is_variant_null(get(m, "$.content", "variant")), "").otherwise(F.to_json(get(m, "$.content", "variant")))
     called = lambda m: F.transform(F.coalesce(objects(get(m, "$.tool_calls", "array<variant>")), F.array().cast("array<variant>")), lambda t: F.coalesce(get(t, "$.function.name"), F.lit("")))
-    message = lambda m: F.struct(F.coalesce(get(m, "$.role"), F.lit("")).alias("role"), content(m).alias("content"), called(m).alias("tool_calls"))
+    message = lambda m: F.struct(F.coalesce(get(m, "$.role"), F.lit("")).alias("role"), content(m).alias("content"), called(m).alias("tool_calls"), F.to_json(get(m, "$.tool_calls", "variant")).alias("calls_json"))
     tool = lambda t: F.struct(F.coalesce(get(t, "$.function.name"), F.lit("")).alias("name"), F.coalesce(get(t, "$.function.description"), F.lit("")).alias("description"), F.to_json(t).alias("schema_json"))
     reply = get("_response", "$.choices[0].message", "variant")
     ts = F.coalesce(F.expr(f"try_cast(`{mapping.timestamp}` AS timestamp_ntz)"), F.expr("TIMESTAMP_NTZ'0001-01-01 00:00:00'"))

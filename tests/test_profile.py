@@ -63,8 +63,8 @@ def test_metrics_and_findings(found):
     assert rows["app"].tools_never_called == ["pay"] and rows["app"].truncated == 1 and rows["app"].reported_cached_mean == 0.0
     assert rows["bills"].cacheable_now < 10 and rows["bills"].recoverable > 20_000
     assert any(f.startswith("cache: varying") for f in rows["bills"].findings) and any(f.startswith("models: 2") for f in rows["bills"].findings)
-    assert {r.node_id.split(":")[0]: r.verdict for r in p.verdicts.collect()} == {"app": "confirmed", "bills": "boundary_weak"}  # the judge takes "invoice" for the intruder
-    assert not p.gate_passed and p.history.where("status = 'new'").count() == 2
+    assert {r.node_id.split(":")[0]: r.verdict for r in p.verdicts.collect()} == {"app": "confirmed", "bills": "confirmed"}  # each app has one callsite, so there is no neighbour to tell apart
+    assert p.gate_passed and p.history.where("status = 'new'").count() == 2
 
 
 def test_reports_keep_their_size(found, tmp_path):
@@ -114,8 +114,9 @@ def test_judge_and_gate(spark, tmp_path):
 
     audit, slept = Audit(), []
     judge = judging.CachedJudge(answer, "m", str(tmp_path), audit, sleep=slept.append)
-    assert judge.ask("s", "u", "pair") == {"same": True} == judge.ask("s", "u", "pair") and slept == [5.0, 2.0]
-    assert audit.usage()["cached"] == 1 and "judge_failed" in audit.markdown() and estimate_cost("gpt-4o-mini-x", 10**6, 0) == 0.15
+    assert judge.ask("s", "u", "pair") == {"same": True} == judge.ask("s", "u", "pair")
+    assert 20.0 <= slept[0] <= 23.0 and 2.0 <= slept[1] <= 3.0 and len(slept) == 2  # a limit counts by the minute; other failures double
+    assert audit.usage()["cached"] == 1 and "judge_failed" in audit.markdown() and estimate_cost("gpt-4o-mini", 10**6, 0) == 0.15 and estimate_cost("another", 10**6, 10**6) == 5.0
     ambiguous = spark.createDataFrame([("a", "b", 0.5)], "a string, b string, score double")
     assert judging.adjudicate(Agreeing(), ambiguous, {}) == [("a", "b")] and judging.NoJudge().ask("", "", "") is None
     assert judging.gate({"confirmed_rate": None})[0] and not judging.gate({"confirmed_rate": 0.5})[0]
