@@ -45,9 +45,13 @@ def retry_links(reqs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def prefix_links(reqs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(app_id, request_id, parent): of the earlier calls whose whole key is a proper prefix of this one, at most link_seconds ago, the latest."""
     own = F.explode(F.slice("prefixes", 1, F.greatest(F.size("prefixes") - 1, F.lit(0))))
-    child = reqs.select("app_id", "request_id", F.col("ts").alias("ts"), "pos", own.alias("key"))
-    parent = reqs.select("app_id", "key", F.col("request_id").alias("parent"), F.col("ts").alias("before"), F.col("pos").alias("parent_pos"))
-    found = child.join(parent, ["app_id", "key"]).where((F.col("parent_pos") < F.col("pos")) & (seconds("ts", "before") <= settings.link_seconds))
+    none = F.lit(None)
+    child = reqs.select("app_id", "request_id", "ts", "pos", own.alias("key"), none.cast("string").alias("parent"), none.cast("timestamp_ntz").alias("before"), none.cast("long").alias("parent_pos"))
+    parent = reqs.where(F.col("key").isNotNull()).select("app_id", none.cast("string").alias("request_id"), "ts", "pos", "key", F.col("request_id").alias("parent"), F.col("ts").alias("before"), F.col("pos").cast("long").alias("parent_pos"))
+    # Times never fall along `pos`, so of a key's earlier calls the last is in time if any is: one pass along the key, no join of all with all.
+    held = Window.partitionBy("app_id", "key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    both = child.unionByName(parent).withColumns({c: F.last(c, ignorenulls=True).over(held) for c in ("parent", "before", "parent_pos")})
+    found = both.where(F.col("request_id").isNotNull() & F.col("parent").isNotNull() & (F.col("parent_pos") < F.col("pos")) & (seconds("ts", "before") <= settings.link_seconds))
     return found.groupBy("app_id", "request_id").agg(F.max_by("parent", "parent_pos").alias("parent"))
 
 

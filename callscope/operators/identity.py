@@ -110,6 +110,11 @@ def pair_scores(points: DataFrame, settings: Settings = Settings()) -> DataFrame
     return pairs.select("app_id", F.col("x.point").alias("a"), F.col("y.point").alias("b"), similarity("x", "y", settings).alias("score"))
 
 
+def unlinked_calls(points: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(app_id, points, calls) that are beyond the guard of linkage_points, each a group of its own."""
+    return points.where(F.col("rank") >= settings.linkage_points).groupBy("app_id").agg(F.count(F.lit(1)).alias("points"), F.sum("size").alias("calls"))
+
+
 def ambiguous_pairs(pairs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Pairs that just miss linkage, best first."""
     high = min(settings.tau, settings.ambiguous_high)

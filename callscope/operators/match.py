@@ -42,10 +42,15 @@ def lookup(requests: DataFrame, known: DataFrame, settings: Settings = Settings(
     """One row for each request (request_id, app_id, lines, tools, shape): status, node_id, score, contained, runner_up.
 
     By default every callsite that shares a template line is scored, which finds what a full scan finds.
-    prune: only callsites that share one of their anchor lines, as a bounded index for very large estates.
+    prune: only callsites that share one of their anchor lines, as a bounded index for very large estates; a callsite
+    whose rarest lines are all missing from a request is then not looked at.
     """
     own = template_lines(known)
-    index = anchors(known, settings).select("node_id", "line") if prune else own.select("node_id", F.explode("lines").alias("line"))
+    every = own.select("node_id", F.explode("lines").alias("line"))
+    index = every
+    if prune:  # a callsite with tools and no anchor is found by any of its lines
+        index = anchors(known, settings).select("node_id", "line")
+        index = index.unionByName(every.join(own.where(F.size("tools") > 0).select("node_id").join(index, "node_id", "left_anti"), "node_id", "left_semi"))
     small = known.count() <= BROADCAST_ROWS // 50
     index = F.broadcast(index) if small else index
     rows = requests.select("request_id", "app_id", F.explode(F.array_distinct("lines")).alias("line"))

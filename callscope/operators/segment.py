@@ -128,23 +128,49 @@ def wildcard_values(template: str, line: str) -> list[str]:
 FIELDS_DDL = "key string, template string, occurrences long, examples array<string>, avg_value_chars long, scaffold_chars long"
 
 
-def mine_fields(dynamic: DataFrame) -> DataFrame:
-    """Value templates of each key's lines: rows (key, pos, line), of which the first MINER_LINES by pos are mined."""
+#: Lines of a key that are matched in one task.
+MATCHED_LINES = 50_000
 
-    def mine(rows: pd.DataFrame) -> pd.DataFrame:
-        own = [x for x in rows.sort_values("pos")["line"] if x]
+
+def mine_fields(dynamic: DataFrame, train_lines: int = MINER_LINES) -> DataFrame:
+    """Value templates of each key's lines: rows (key, pos, line); pos only orders.
+
+    Templates are learned from a key's first `train_lines` lines by pos; every line is matched, and lines that no
+    template matches are counted under a null template. Empty and null lines are left out. A key's lines are
+    matched in tasks of about MATCHED_LINES. Keys are never null here: a null key is one of its own.
+    """
+    lines_of = dynamic.where(F.col("line").isNotNull() & (F.col("line") != ""))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("pos"))  # a limit on a rank: partial before the shuffle
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        ordered = rows.sort_values("_n")["line"].tolist()
+        return pd.DataFrame({"key": [rows["key"].iloc[0]], "train": [ordered]})
+
+    learned = lines_of.withColumn("_n", place).where(F.col("_n") <= train_lines).groupBy("key").applyInPandas(learn, "key string, train array<string>")
+    sizes = lines_of.groupBy(F.col("key").alias("_key")).agg(F.ceil(F.count(F.lit(1)) / MATCHED_LINES).cast("int").alias("_parts"))
+    same = F.col("key").eqNullSafe(F.col("_key"))
+    dealt = lines_of.join(sizes, same).select("key", "pos", "line", F.pmod(F.xxhash64("pos"), F.col("_parts")).cast("int").alias("_part"))
+    sent = learned.join(sizes, same).select("key", "train", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+
+    def match(rows: pd.DataFrame, training: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"key": [], "template": [], "n": [], "first": [], "examples": [], "chars": [], "values": []})
         miner, found = TemplateMiner(), {}
-        for line in own:
+        for line in training["train"].iloc[0]:
             miner.add(line)
-        for line in own:
-            template = miner.match(line)
-            if template is not None:
-                found.setdefault(template, []).append(line)
+        order = [tuple(p.values()) if isinstance(p, dict) else p for p in rows["pos"]]  # pos may be a struct
+        for k, line in enumerate(line for _, line in sorted(zip(order, rows["line"]))):
+            found.setdefault(miner.match(line), []).append((k, line))
         out = []
-        for template, members in sorted(found.items(), key=lambda kv: -len(kv[1])):
-            values = [v for x in members for v in wildcard_values(template, x)]
-            out.append((rows["key"].iloc[0], template, len(members), [v for v in values[:3] if v], sum(map(len, values)) // len(values) if values else 0, sum(len(p) for p in template.split(WILDCARD))))
-        return pd.DataFrame(out, columns=["key", "template", "occurrences", "examples", "avg_value_chars", "scaffold_chars"])
-
-    place = F.row_number().over(Window.partitionBy("key").orderBy("pos"))
-    return dynamic.withColumn("_n", place).where(F.col("_n") <= MINER_LINES).select("key", "pos", "line").groupBy("key").applyInPandas(mine, FIELDS_DDL)
+        for template, members in found.items():
+            values = [] if template is None else [v for _, x in members for v in wildcard_values(template, x)]
+            out.append((rows["key"].iloc[0], template, len(members), members[0][0], [v for v in values[:3] if v], sum(map(len, values)), len(values)))
+        return pd.DataFrame(out, columns=["key", "template", "n", "first", "examples", "chars", "values"])
+
+    keys = lambda df: df.groupBy("key", "_part")
+    parts = keys(dealt).cogroup(keys(sent)).applyInPandas(match, "key string, template string, n long, first long, examples array<string>, chars long, values long")
+    whole = parts.groupBy("key", "template").agg(F.sum("n").alias("occurrences"), F.min_by("examples", "first").alias("examples"), F.sum("chars").alias("_chars"), F.sum("values").alias("_values"))
+    scaffold = F.length(F.replace("template", F.lit(WILDCARD), F.lit(""))).cast("long")
+    average = F.when(F.col("_values") > 0, F.expr("_chars div _values")).otherwise(F.lit(0).cast("long"))
+    ordered = whole.orderBy("key", F.col("occurrences").desc(), "template")  # a row for each template, no lines
+    return ordered.select("key", "template", "occurrences", "examples", average.alias("avg_value_chars"), F.coalesce(scaffold, F.lit(0).cast("long")).alias("scaffold_chars"))

@@ -450,9 +450,9 @@ def hourly_events(spark, d):
 
 @query()
 def drain_fields(spark, d):
-    """Value templates of the lines of each language."""
+    """Value templates of the lines of each language, learned from its first lines (segment.MINER_LINES) and matched with all."""
     rows = table(spark, d, "documents").select(F.col("lang").alias("key"), "doc_id", F.posexplode(lines(F.col("text"))).alias("k", "line"))
-    return segment.mine_fields(rows.select("key", F.struct("doc_id", "k").alias("p"), "line").withColumn("pos", F.col("p.doc_id") * 100_000 + F.col("p.k")).select("key", "pos", "line"))
+    return segment.mine_fields(rows.select("key", F.struct("doc_id", "k").alias("pos"), "line"))
 
 
 @query()

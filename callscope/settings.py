@@ -75,7 +75,10 @@ def load_mapping(path: str | Path) -> Mapping:
     raw = yaml.safe_load(Path(path).read_text()) or {}
     columns = {k: v for k, v in (raw.get("columns") or {}).items() if k in {f.name for f in fields(Mapping)}}
     more = {"app_id_paths": tuple(raw["app_id_paths"])} if raw.get("app_id_paths") else {}
-    return Mapping(**columns, **more, options=raw.get("options") or {})
+    options = raw.get("options") or {}
+    if "chat_call_types" in options:
+        more["chat_types"] = tuple(options["chat_call_types"] or ())
+    return Mapping(**columns, **more, options=options)
 
 
 def secret(names: tuple[str, ...] = ("LLM_KEY", "OPENAI_API_KEY"), env_file: str = ".env") -> str | None:

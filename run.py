@@ -21,6 +21,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
 
     from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
     from callscope.operators.registry import Store
     from callscope.plans import report
@@ -30,8 +31,9 @@ def main(argv: list[str] | None = None) -> int:
     from callscope.sources import gateway, store
 
     spark = SparkSession.builder.getOrCreate()
-    settings = resolve(tau=args.tau, rows_per_app=args.max_rows_per_app)
     mapping = load_mapping(args.mapping) if args.mapping else Mapping()
+    rows_per_app = args.max_rows_per_app if args.max_rows_per_app is not None else mapping.options.get("max_rows_per_app")
+    settings = resolve(tau=args.tau, rows_per_app=rows_per_app)
     out = Path(args.out, time.strftime("run-%Y%m%d-%H%M%S"))
     out.mkdir(parents=True, exist_ok=True)
     audit = Audit(str(out / "audit.jsonl"))
@@ -39,6 +41,10 @@ def main(argv: list[str] | None = None) -> int:
     audit.event("missing_columns", columns=missing)
     checked = gateway.validate(rows, mapping)
     audit.event("loaded", **gateway.load_report(checked, mapping).first().asDict())
+    left_out = gateway.capped_apps(checked, settings).agg(F.count(F.lit(1)).alias("apps"), (F.sum("rows") - F.count(F.lit(1)) * settings.rows_per_app).alias("rows")).first()
+    audit.event("capped_apps", rows_per_app=settings.rows_per_app, apps=left_out["apps"], rows_left_out=left_out["rows"] or 0)
+    if left_out["apps"]:
+        print(f"{left_out['rows']} rows of {left_out['apps']} apps are beyond {settings.rows_per_app} rows an app and are left out (--max-rows-per-app)", file=sys.stderr)
     found = profile(spark, gateway.calls(checked, mapping, settings), out.name, args.csv, settings, remember=None if args.no_registry else Store(spark, str(Path(args.out, "registry").resolve())), audit=audit)
     store.write(str(out.resolve()), found.tables)
     result = report.to_json(found)

@@ -70,3 +70,55 @@ def test_waits():
     assert wait_before(0, True, hinted_wait("429: try again in 6.5s")) == 7.5
     assert wait_before(3, True, hinted_wait("429: Try again in 200ms")) == 2.0
     assert hinted_wait("no words of it") is None and 20.0 <= wait_before(0, True) <= 23.0
+
+
+def test_prefix_links_equal_plain_code(spark):
+    """The latest earlier call whose history is a proper prefix, in time; one opening turn is common to all."""
+    import random
+
+    from callscope.operators.chain import prefix_links
+    from callscope.settings import Settings
+
+    rng = random.Random(9)
+    rows, log = [], []
+    for k in range(120):
+        base = rng.choice(log)[1] if log and rng.random() < 0.7 else ["open"]
+        keys = base + [f"k{rng.randrange(6)}.{len(base)}"] if rng.random() < 0.8 else ["open"]
+        keys = ["/".join(keys[: i + 1]) if "/" not in keys[i] else keys[i] for i in range(len(keys))]
+        log.append((k, keys))
+        rows.append((f"r{k:03}", k, keys))
+    df = spark.createDataFrame([("app", r, k, ks, ks[-1]) for r, k, ks in rows], "app_id string, request_id string, pos int, prefixes array<string>, key string")
+    df = df.withColumn("ts", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("pos") * 40)).cast("timestamp_ntz"))
+    settings = Settings()
+    want = {}
+    for r, k, ks in rows:
+        before = [(j, p) for p, j, keys in rows if j < k and keys[-1] in ks[:-1] and (k - j) * 40 <= settings.link_seconds]
+        if before:
+            want[r] = max(before)[1]
+    assert {x.request_id: x.parent for x in prefix_links(df, settings).collect()} == want and len(want) > 40
+
+
+def test_every_line_is_matched(spark):
+    """Lines beyond those that templates are learned from are matched too, in several tasks; what fits none is counted."""
+    from callscope.operators import segment
+
+    rows = [("a", k, f"order {k} shipped to town{k % 7}") for k in range(900)] + [("a", 900 + k, f"odd line {'x ' * (k + 3)}") for k in range(5)] + [(None, 1, "alone"), ("a", 2000, ""), ("a", 2001, None)]
+    df = spark.createDataFrame(rows, "key string, pos long, line string").repartition(3)
+    got = {(r.key, r.template): r.occurrences for r in segment.mine_fields(df, train_lines=50).collect()}
+    assert got == {("a", "order <*> shipped to <*>"): 900, ("a", None): 5, (None, "alone"): 1}
+    segment.MATCHED_LINES, before = 100, segment.MATCHED_LINES
+    try:
+        assert {(r.key, r.template): r.occurrences for r in segment.mine_fields(df, train_lines=50).collect()} == got
+    finally:
+        segment.MATCHED_LINES = before
+
+
+def test_pruned_lookup_keeps_callsites_without_anchors(spark):
+    from callscope.operators.match import lookup
+
+    common = [f"common line {k}" for k in range(6)]
+    known = [(f"n{k}", "app", common, [f"tool{k}"], "su") for k in range(200)]
+    known_df = spark.createDataFrame(known, "node_id string, app_id string, template array<string>, tools array<string>, shape string")
+    requests = spark.createDataFrame([("r", "app", common, ["tool17"], "su")], "request_id string, app_id string, lines array<string>, tools array<string>, shape string")
+    full, pruned = (lookup(requests, known_df, prune=p).collect()[0] for p in (False, True))
+    assert full == pruned and full.node_id == "n17"
