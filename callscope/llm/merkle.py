@@ -7,8 +7,10 @@ hash says so. Every node's hash covers its children's; equal roots mean equal te
 and a comparison walks down only where branches differ.
 
 The fingerprint string is `root:sections`, sections joined by `;`, their paragraphs
-by `,`, their pieces by `.`. Root has 32 hex digits (the text's own bytes are hashed
-into it), a piece 8.
+by `,`, their pieces by `.`. Root has 32 hex digits, a piece 8. The root is a hash of
+its sections' hashes alone, these of their paragraphs', these of their pieces' and of
+the line ends that follow, 128 bits each, so equal roots mean equal texts. `parse`
+gives the tree of a string back, and likeness follows from two strings.
 
 Defined results: a null text is empty; an empty text has a root and no piece;
 repeated rows follow each other in the order of their texts; rows without a doc_id
@@ -76,22 +78,46 @@ def _pieces(line: str) -> list[str]:
     return out
 
 
+def _covers(kind: bytes, children: list[bytes], gap: int = 0) -> bytes:
+    """128 bits over a node's children; gap: the line ends that follow it."""
+    return xxhash.xxh3_128_digest(kind + gap.to_bytes(8, "little") + b"".join(children))
+
+
 def tree(text: str | None) -> Tree:
-    data = (text or "").encode()
+    lines = (text or "").split("\n")
     sections, paragraphs = [], []
+    tops, inner = [], []  # what the root covers: sections, and paragraphs of the open one, with the line ends between
     digest = xxhash.xxh32_intdigest
-    for line in (text or "").split("\n"):
+    first = next((k for k, line in enumerate(lines) if line), len(lines) - 1)
+    for k, line in enumerate(lines):
         if not line:
             continue
-        pieces = [digest(p.encode(), 3) for p in _pieces(line)]
+        gap = k + 1
+        while gap < len(lines) and not lines[gap]:
+            gap += 1
+        parts = [p.encode() for p in _pieces(line)]
+        pieces = [digest(p, 3) for p in parts]
         paragraphs.append((_node(pieces), pieces))
+        inner.append(_covers(b"p", [xxhash.xxh3_128_digest(p) for p in parts], gap - k - (gap == len(lines))))
         if paragraphs[-1][0] % SECTION_EVERY == 0:
             sections.append((_node([h for h, _ in paragraphs]), paragraphs))
-            paragraphs = []
+            tops.append(_covers(b"s", inner))
+            paragraphs, inner = [], []
     if paragraphs:
         sections.append((_node([h for h, _ in paragraphs]), paragraphs))
-    top = b"".join(h.to_bytes(8, "little") for h, _ in sections)
-    return Tree(hashlib.blake2b(top + data, digest_size=16).hexdigest(), sections)
+        tops.append(_covers(b"s", inner))
+    return Tree(hashlib.blake2b(first.to_bytes(8, "little") + b"".join(tops), digest_size=16).hexdigest(), sections)
+
+
+def parse(fingerprint: str) -> Tree:
+    """The tree that a fingerprint string was made of."""
+    root, rest = fingerprint.split(":")
+    sections = []
+    for section in rest.split(";") if rest else []:
+        pieces = [[int(x, 16) for x in paragraph.split(".")] for paragraph in section.split(",")]
+        paragraphs = [(_node(own), own) for own in pieces]
+        sections.append((_node([h for h, _ in paragraphs]), paragraphs))
+    return Tree(root, sections)
 
 
 def _common(a: list[tuple], b: list[tuple]) -> tuple[Counter, list, list]:

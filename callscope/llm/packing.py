@@ -269,6 +269,26 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, limits
 
 # ---------------------------------------------------------------- instruction examples
 
+#: Limits that all bind for conversations: few examples a sequence, half of the tokens bearing loss.
+INSTRUCTION_LIMITS = Limits(tokens=2048, segments=16, loss=1024)
+
+
+def conversation_examples(turns: DataFrame, tokenizer_path: str) -> DataFrame:
+    """example_id, tokens and loss_tokens of each conversation (conv_id, role, text): each turn's ids and one closing id; the assistant's bear loss. Turns without a conv_id are one example."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = unit_encoder(tokenizer_path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                n = [len(ids) // 4 + 1 for ids in encoder.encode([t or "" for t in part.column(2).to_pylist()])]
+                loss = [x if role == "assistant" else 0 for x, role in zip(n, part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(loss, pa.int64())], names=["example_id", "tokens", "loss_tokens"])
+        give_back()
+
+    rows = turns.select(F.col("conv_id").cast("long").alias("example_id"), "role", "text").mapInArrow(count, "example_id long, tokens long, loss_tokens long")
+    return rows.groupBy("example_id").agg(F.sum("tokens").alias("tokens"), F.sum("loss_tokens").alias("loss_tokens"))
+
 EXAMPLES_DDL = "example_id long, tokens long, loss_tokens long, sequence_id long, offset long"
 
 

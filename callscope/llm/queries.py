@@ -78,6 +78,16 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_and_compare(_documents(spark, sf_dir))
 
 
+def pack_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three-limit packer of op9 on whole conversations."""
+    import public_tokenizers
+
+    from callscope.llm.packing import INSTRUCTION_LIMITS, conversation_examples, pack_examples
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return pack_examples(conversation_examples(turns, public_tokenizers.path("byte_bpe_50k.json")), INSTRUCTION_LIMITS)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
@@ -89,6 +99,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
     "op10_merkle": op10_merkle,
+    "pack_instructions": pack_instructions,
 }
 
 ORACLE_SQL = {

@@ -2,7 +2,7 @@ import hashlib
 
 import numpy as np
 
-from callscope.llm.merkle import differing, edited, fingerprint_and_compare, likeness, tree
+from callscope.llm.merkle import differing, edited, fingerprint_and_compare, likeness, parse, tree
 
 
 def brute(rows):
@@ -47,3 +47,14 @@ def test_one_row_and_none(spark):
     [row] = fingerprint_and_compare(docs).collect()
     assert row.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and row.near_next == 1.0
     assert fingerprint_and_compare(docs.limit(0)).count() == 0
+
+
+def test_roots_cover_line_ends_and_strings_give_trees_back():
+    texts = ["", "\n", "\n\n", "a", "a\n", "\na", "a\n\n", "a\nb", "a\n\nb", "\n\na\nb\n", "b\na", "a b", "a. b", "a.\nb", "a.  b", " a", "a ", "long " * 400, "long " * 400 + "x. " * 90 + "\n" * 7 + "end"]
+    texts += ["\n".join(f"line {k} of {n}. And more." for k in range(n)) for n in (3, 30, 300)]
+    trees = [tree(t) for t in texts]
+    assert len({t.root for t in trees}) == len(texts)
+    for a in trees:
+        assert parse(str(a)) == a
+        for b in trees:
+            assert likeness(parse(str(a)), parse(str(b))) == likeness(a, b)

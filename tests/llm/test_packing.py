@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -61,3 +62,32 @@ def test_examples_keep_all_three_limits(spark):
     for members in sequences.values():
         if len(members) > 1:
             assert sum(r.tokens for r in members) <= 1000 and sum(r.loss_tokens for r in members) <= 400 and len(members) <= 5
+
+
+def test_conversations_under_three_limits(spark):
+    """Every conversation lies in one sequence, whole and gapless, and all three limits hold."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from callscope.llm.packing import INSTRUCTION_LIMITS, conversation_examples, pack_examples
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(4)
+    turns = [(c if c else None, k, rng.choice(["user", "assistant", None]), rng.choice([None, "", "some words of it " * rng.randrange(1, 60)])) for c in range(120) for k in range(rng.randrange(1, 5))]
+    turns += [(500, 0, "assistant", "too long " * 3000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+    want = {}
+    for c, _, role, text in turns:
+        n = len(library.encode(text or "", add_special_tokens=False).ids) + 1
+        t, loss = want.get(c, (0, 0))
+        want[c] = (t + n, loss + (n if role == "assistant" else 0))
+    rows = pack_examples(conversation_examples(df, path), INSTRUCTION_LIMITS).collect()
+    assert {r.example_id: (r.tokens, r.loss_tokens) for r in rows} == want and len(rows) == len(want)
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append(r)
+    for own in sequences.values():
+        own.sort(key=lambda r: r.offset)
+        assert [r.offset for r in own] == [sum(x.tokens for x in own[:k]) for k in range(len(own))]
+        if len(own) > 1:
+            assert sum(r.tokens for r in own) <= INSTRUCTION_LIMITS.tokens and len(own) <= INSTRUCTION_LIMITS.segments and sum(r.loss_tokens for r in own) <= INSTRUCTION_LIMITS.loss
