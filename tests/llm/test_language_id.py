@@ -60,3 +60,48 @@ def test_nothing_learned(spark):
     assert [r.lang_pred for r in predict_documents(docs).collect()] == ["und"]
     assert predict_documents(docs.limit(0)).count() == 0
     assert fit(docs).languages == []
+
+
+def test_predictions_equal_plain_code(monkeypatch):
+    """Batches and pieces of any size give what one text at a time, n-gram by n-gram, gives."""
+    import random
+
+    import numpy as np
+    import pytest
+
+    from callscope.llm import language_id
+    from callscope.llm.language_id import LanguageFilters, Settings, _codes, ngrams
+
+    filters = LanguageFilters(["de", "en"], Settings())
+    for k, words in enumerate(["der die das und ist nicht schön", "the of and to in is that"]):
+        for n, _ in filters.settings.sizes:
+            codes, owner, _ = _codes([words])
+            filters.add(k, ngrams(codes, owner, n)[0])
+    filters.finish()
+    rng = random.Random(7)
+    words = "der die das und the of and to in ,, 12 Ünd naïve ΣΑΣ \U0001F600 x".split()
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 400))) for _ in range(30)] + ["", "12 ..", "the" * 5000, "a\ud800b"]
+
+    def plain(text):
+        """Letters with one blank between words, every n-gram looked up for itself."""
+        letters = [c if c.isalpha() else "\0" for c in f"\0{text.lower()}\0"]
+        line = [c for c, before in zip(letters, ["a", *letters]) if c != "\0" or before != "\0"]
+        hits, total = np.zeros(2), 0
+        for n, _ in filters.settings.sizes:
+            for at in range(len(line) - n + 1):
+                gram = line[at : at + n]
+                if any(c != "\0" for c in gram):
+                    codes = np.array([0 if c == "\0" else ord(c) for c in gram], np.uint64)
+                    mask = int(filters.containing(ngrams(codes, np.zeros(n, np.int64), n)[0])[0, 0])
+                    hits += [mask & 1, mask >> 1 & 1]
+                    total += 1
+        if not any(c.isalpha() for c in text) or not total:
+            return "und", 0.0
+        share = np.clip((hits / total - filters.false_rate) / (1 - filters.false_rate), 0, 1)
+        return filters.languages[int(share.argmax())], float(share.max())
+
+    want = [plain(t) for t in texts]
+    for size in (1 << 18, 500, 97):
+        monkeypatch.setattr(language_id, "BATCH_CHARS", size)
+        for (lang, score), (lang_, score_) in zip(filters.predict(texts), want):
+            assert lang == lang_ and score == pytest.approx(score_)
