@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Line that separates the user part of a template.
@@ -112,6 +114,22 @@ def upper_median(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.try_element_at(F.sort_array(values), F.floor(F.size(values) / 2).cast("int") + 1))
 
 
+def rank_at(q: float) -> Callable[[Column], Column]:
+    """The place of a percentile among n ordered values, as nearest_rank has it."""
+    return lambda n: F.bround(F.lit(q) * (n - 1))
+
+
+def counted_ranks(rows: DataFrame, keys: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(keys, one column for each place): order statistics of a group by its counted values, so no group's rows become one array.
+
+    A place maps the number of values to an index from 0. Nulls don't count; groups without values have no row.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy(*keys)
+    counted = counted.withColumns({"_upto": F.sum("_c").over(group.orderBy(value)), "_all": F.sum("_c").over(group)})
+    return counted.groupBy(*keys).agg(*(F.min(F.when(F.col("_upto") > at(F.col("_all")), F.col(value))).alias(name) for name, at in places.items()))
+
+
 def bucket(value: Column, bins: int) -> Column:
     """Histogram bin of a share in [0, 1]."""
     return F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(value * bins).cast("int")))

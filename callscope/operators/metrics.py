@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callscope.functions.text import SYSTEM_ROLES, common_prefix_length, nearest_rank, of_roles, spaced_json, tokens, upper_median
+from callscope.functions.text import SYSTEM_ROLES, common_prefix_length, counted_ranks, of_roles, rank_at, spaced_json, tokens
 from callscope.operators.segment import line_split, segmentation
 from callscope.settings import Settings
 
@@ -94,8 +94,8 @@ def findings(settings: Settings = Settings()) -> Column:
 def region_anatomy(calls: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, region, mean_tokens, share, p10, p90, static_share, varies) of the regions that hold anything."""
     regions = region_texts(calls, *keys).withColumn("t", tokens(F.length("text")))
-    sizes = regions.groupBy(*keys, "region").agg(F.floor(F.avg("t")).cast("long").alias("mean_tokens"), F.sort_array(F.collect_list("t")).alias("_t"))
-    sizes = sizes.withColumns({"p10": nearest_rank(F.col("_t"), 0.10), "p90": nearest_rank(F.col("_t"), 0.90)}).drop("_t").where(F.col("mean_tokens") >= 1)
+    sizes = regions.groupBy(*keys, "region").agg(F.floor(F.avg("t")).cast("long").alias("mean_tokens")).where(F.col("mean_tokens") >= 1)
+    sizes = sizes.join(counted_ranks(regions, [*keys, "region"], "t", {"p10": rank_at(0.10), "p90": rank_at(0.90)}), [*keys, "region"])
     total = sizes.groupBy(*keys).agg(F.sum("mean_tokens").alias("_total"))
     split = line_split(regions, [*keys, "region"])
     chars = split.groupBy(*keys, "region").agg(
@@ -111,5 +111,57 @@ def region_anatomy(calls: DataFrame, keys: list[str]) -> DataFrame:
 
 def payload_spread(splits: DataFrame, keys: list[str]) -> DataFrame:
     """Least, upper median and greatest dynamic tokens of a group, flagged if they differ tenfold."""
-    out = splits.groupBy(*keys).agg(F.min("dynamic_tokens").alias("least"), upper_median(F.collect_list("dynamic_tokens")).alias("median"), F.max("dynamic_tokens").alias("most"))
+    places = {"least": lambda n: F.lit(0), "median": lambda n: F.floor(n / 2), "most": lambda n: n - 1}
+    out = counted_ranks(splits, keys, "dynamic_tokens", places)
     return out.withColumn("wide", F.col("most") >= 10 * F.greatest(F.col("least"), F.lit(1)))
+
+
+def _counts(calls: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """(keys, name): a group's values with their counts, the most frequent first."""
+    counted = calls.groupBy(*keys, value.alias("value")).agg(F.count(F.lit(1)).alias("calls"))
+    rows = F.sort_array(F.collect_list(F.struct((-F.col("calls")).alias("n"), "value")))
+    return counted.groupBy(*keys).agg(F.transform(rows, lambda x: F.struct(x["value"].alias("value"), (-x["n"]).alias("calls"))).alias(name))
+
+
+def response_anatomy(calls: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, calls, completion_p50, completion_p95, models, finish_reasons, truncated, tool_call_rate): what a group's calls come back with.
+
+    Percentiles are of the known completion sizes, 0 if none is known. A call without a finish reason counts as `unknown`.
+    """
+    sums = calls.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("calls"), F.count_if(F.col("finish_reason") == "length").alias("truncated"),
+        F.round(F.avg((F.size("response_tool_calls") > 0).cast("int")), 3).alias("tool_call_rate"),
+    )
+    sizes = counted_ranks(calls, keys, "completion_tokens", {"completion_p50": rank_at(0.50), "completion_p95": rank_at(0.95)})
+    reason = F.coalesce(F.when(F.col("finish_reason") != "", F.col("finish_reason")), F.lit("unknown"))
+    out = sums.join(sizes, keys, "left").join(_counts(calls, keys, F.col("model"), "models"), keys).join(_counts(calls, keys, reason, "finish_reasons"), keys)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return out.select(*keys, "calls", zero("completion_p50"), zero("completion_p95"), "models", "finish_reasons", "truncated", "tool_call_rate")
+
+
+#: Fixed value: regions with fewer tokens are left out of a description.
+DESCRIBED_TOKENS = 5
+
+
+def describe(regions: DataFrame, responses: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, description): one sentence from region_anatomy and response_anatomy; at most four regions a group."""
+    told = regions.where(F.col("mean_tokens") >= DESCRIBED_TOKENS)
+    amount = F.format_string("%,d tokens of %s", "mean_tokens", "region")
+    new = F.when(F.col("static_share") < 1, F.format_string(" (%.0f%% new each time)", 100 * (1 - F.col("static_share")))).otherwise("")
+    # In the order a request is written, and the same in every run.
+    part = F.struct(F.array_position(F.array(*map(F.lit, REGIONS)), F.col("region")).alias("n"), F.when(F.col("varies"), F.concat(amount, new)).otherwise(amount).alias("text"))
+    pick = lambda when: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, part))), lambda x: x["text"]), ", ")
+    sent = told.groupBy(*keys).agg(pick(~F.col("varies")).alias("held"), pick(F.col("varies")).alias("moves"))
+    out = responses.join(sent, keys, "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("held", "moves")})
+    held, moves = F.col("held") != "", F.col("moves") != ""
+    p50, p95 = F.col("completion_p50"), F.col("completion_p95")
+    words = F.array_compact(F.array(
+        F.when(held, F.format_string("sends %s, the same in every call", "held")),
+        F.when(moves, F.concat(F.when(held, "plus ").otherwise("sends "), F.format_string("%s, which change", "moves"))),
+        F.when(~held & ~moves, F.lit("sends a small request that is always alike")),
+        F.concat(F.format_string("is answered in about %,d tokens", p50), F.when(p95 > 2 * p50, F.format_string(" (p95 %,d)", p95)).otherwise("")),
+        F.when(F.col("tool_call_rate") > 0, F.format_string("calls a tool in %.0f%% of its calls", 100 * F.col("tool_call_rate"))),
+        F.when(F.col("truncated") > 0, F.format_string("%d of %d answers stop at the token limit", "truncated", "calls")),
+        F.when(F.size("models") > 1, F.format_string("is spread over %d models", F.size("models"))),
+    ))
+    return out.select(*keys, F.concat(F.lit("This callsite "), F.array_join(words, "; "), F.lit(".")).alias("description"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callscope.functions.text import bucket, nearest_rank
+from callscope.functions.text import bucket, counted_ranks, rank_at
 
 
 def truth_scores(assigned: DataFrame, truth: DataFrame, ambiguous: DataFrame | None = None, app: str = "app_id") -> DataFrame:
@@ -31,8 +31,10 @@ def truth_scores(assigned: DataFrame, truth: DataFrame, ambiguous: DataFrame | N
 
 def separation(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, gap, worst) of labelled pair scores (score, same): 10th percentile within against 90th across, and least within against greatest across."""
-    out = pairs.groupBy(*keys).agg(F.collect_list(F.when(F.col("same"), F.col("score"))).alias("w"), F.collect_list(F.when(~F.col("same"), F.col("score"))).alias("x"))
-    return out.select(*keys, (nearest_rank(F.col("w"), 0.10) - nearest_rank(F.col("x"), 0.90)).alias("gap"), (F.array_min("w") - F.array_max("x")).alias("worst"))
+    within = counted_ranks(pairs.where(F.col("same")), keys, "score", {"low": rank_at(0.10), "least": lambda n: F.lit(0)})
+    across = counted_ranks(pairs.where(~F.col("same")), keys, "score", {"high": rank_at(0.90), "most": lambda n: n - 1})
+    out = pairs.select(*keys).distinct().join(within, keys, "left").join(across, keys, "left")
+    return out.select(*keys, (F.col("low") - F.col("high")).alias("gap"), (F.col("least") - F.col("most")).alias("worst"))
 
 
 def histogram(values: DataFrame, value: str, keys: list[str], bins: int = 20) -> DataFrame:
