@@ -7,11 +7,12 @@ templates. Calls are reduced to distinct points before anything is compared.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callscope.functions.text import USER_MARKER, jaccard
+from callscope.functions.text import USER_MARKER, counted_ranks, jaccard
 from callscope.operators.components import connected_components
 from callscope.runtime import BROADCAST_ROWS, cut
 from callscope.settings import Settings
@@ -76,8 +77,11 @@ def distinct_points(filtered: DataFrame) -> tuple[DataFrame, DataFrame]:
     return points, filtered.select("app_id", "request_id", "pos", *POINT).join(right, same).select("app_id", "request_id", "pos", "point")
 
 
-def similarity(a: str, b: str, settings: Settings = Settings()) -> Column:
-    """Weighted similarity of two points given as struct columns; a view that neither side has does not count."""
+VIEWS = ("prompt", "user", "tools", "shape", "format")
+
+
+def _views(a: str, b: str, settings: Settings) -> tuple[list[Column], list[Column]]:
+    """(scores, weights) of VIEWS for two points given as struct columns; a view that neither side has weighs nothing."""
     x, y = F.col(a), F.col(b)
     prompt, user, tools = jaccard(x["prompt_key"], y["prompt_key"]), jaccard(x["user_key"], y["user_key"]), jaccard(x["tools"], y["tools"])
     shape = F.when(x["shape"] == y["shape"], 1.0).otherwise(0.0)
@@ -86,11 +90,24 @@ def similarity(a: str, b: str, settings: Settings = Settings()) -> Column:
     has_user = (F.size(x["user_key"]) > 0) | (F.size(y["user_key"]) > 0)
     has_tools = (F.size(x["tools"]) > 0) | (F.size(y["tools"]) > 0)
 
-    def score(w: tuple[float, ...]) -> Column:
-        u, t = F.when(has_user, w[1]).otherwise(0.0), F.when(has_tools, w[2]).otherwise(0.0)
-        return (w[0] * prompt + u * user + t * tools + w[3] * shape + w[4] * form) / (w[0] + u + t + w[3] + w[4])
+    counts = [F.lit(True), has_user, has_tools, F.lit(True), F.lit(True)]
+    weights = [F.when(c, F.when(thin, s).otherwise(w)).otherwise(0.0) for c, w, s in zip(counts, settings.weights, settings.thin_weights)]
+    return [prompt, user, tools, shape, form], weights
+
+
+def explain(a: str, b: str, settings: Settings = Settings()) -> Column:
+    """What a similarity is made of: each view that counts, its score and its share of the weight."""
+    scores, weights = _views(a, b, settings)
+    total = reduce(lambda m, n: m + n, weights)
+    return F.concat_ws(" ", *(F.when(w > 0, F.format_string(f"{name} %.2f(w%.2f)", s, w / total)) for name, s, w in zip(VIEWS, scores, weights)))
 
-    plain = F.when(thin, score(settings.thin_weights)).otherwise(score(settings.weights))
+
+def similarity(a: str, b: str, settings: Settings = Settings()) -> Column:
+    """Weighted similarity of two points given as struct columns; disjoint tools or user lines cap it."""
+    x, y = F.col(a), F.col(b)
+    scores, weights = _views(a, b, settings)
+    plain = reduce(lambda m, n: m + n, [w * s for w, s in zip(weights, scores)]) / reduce(lambda m, n: m + n, weights)
+    user, tools = scores[1], scores[2]
     both = lambda c: (F.size(x[c]) > 0) & (F.size(y[c]) > 0)
     apart = (both("tools") & (tools == 0)) | (both("user_key") & (user == 0))
     return F.when(apart, F.least(plain, F.lit(settings.veto))).otherwise(plain)
@@ -110,6 +127,33 @@ def pair_scores(points: DataFrame, settings: Settings = Settings()) -> DataFrame
     return pairs.select("app_id", F.col("x.point").alias("a"), F.col("y.point").alias("b"), similarity("x", "y", settings).alias("score"))
 
 
+def explained(pairs: DataFrame, points: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """pairs (a, b, ...) with `why`: what their score is made of."""
+    view = F.struct("point", *POINT)
+    left, right = points.select(F.col("point").alias("a"), view.alias("_x")), points.select(F.col("point").alias("b"), view.alias("_y"))
+    return pairs.join(left, "a").join(right, "b").withColumn("why", explain("_x", "_y", settings)).drop("_x", "_y")
+
+
+#: Distinct lines of a weak prompt, and shapes that a signature lists.
+WEAK_LINES, SHAPES = 3, 6
+
+
+def identity_signature(fp: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each group of fingerprints: what identity had to work with. Of equally frequent shapes the first seen comes first."""
+    n_lines = F.size("prompt_lines").cast("long")
+    own = fp.select(*keys, "pos", "has_system", "tools", "shape", "response_format", n_lines.alias("n_lines"), (F.size("user_lines") > 0).alias("has_user"))
+    sums = own.groupBy(*keys).agg(
+        F.count_if("has_system").alias("with_system_prompt"), F.count_if("has_user").alias("with_user_template"), F.count_if(F.col("n_lines") <= WEAK_LINES).alias("weak_prompts"),
+        F.count_distinct("tools").alias("distinct_tool_sets"), F.count_distinct(F.coalesce("response_format", F.lit("\x00"))).alias("distinct_formats"),
+    )
+    median = counted_ranks(own, keys, "n_lines", {"median_prompt_lines": lambda n: F.floor(n / 2)})
+    counted = own.groupBy(*keys, "shape").agg(F.count(F.lit(1)).alias("calls"), F.min("pos").alias("_first"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("calls")).alias("n"), "_first", "shape"))), lambda s: F.struct(s["shape"].alias("shape"), (-s["n"]).alias("calls")))
+    shapes = counted.groupBy(*keys).agg(ordered.alias("_s"), F.count(F.lit(1)).alias("distinct_shapes"))
+    out = sums.join(median, keys).join(shapes, keys)
+    return out.withColumns({"shape": F.col("_s")[0]["shape"], "shapes": F.slice("_s", 1, SHAPES)}).drop("_s")
+
+
 def unlinked_calls(points: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(app_id, points, calls) that are beyond the guard of linkage_points, each a group of its own."""
     return points.where(F.col("rank") >= settings.linkage_points).groupBy("app_id").agg(F.count(F.lit(1)).alias("points"), F.sum("size").alias("calls"))
@@ -203,13 +247,17 @@ def verdict(template_lines: Column, ratio: Column, margin: Column, min_internal:
 
 @dataclass
 class Grouping:
-    """nodes: one row for each callsite; membership: (app_id, request_id, cluster, node_id or null); residual clusters are nodes with is_node false."""
+    """nodes: one row for each callsite; membership: (app_id, request_id, cluster, node_id or null); residual clusters are nodes with is_node false.
+
+    points: the distinct calls compared, each with its cluster and its first request.
+    """
 
     nodes: DataFrame
     membership: DataFrame
     pairs: DataFrame
     ambiguous: DataFrame
     filtered: DataFrame
+    points: DataFrame
 
 
 def group(fp: DataFrame, settings: Settings = Settings()) -> Grouping:
@@ -232,7 +280,7 @@ def group(fp: DataFrame, settings: Settings = Settings()) -> Grouping:
     confidence = F.when(~large, "small").when((F.col("size") >= 30) & (F.col("quality") == "ok"), "established").when(F.col("size") >= 8, "provisional").otherwise("weak")
     nodes = cut(found.withColumn("confidence", confidence))
     named = nodes.select("cluster", F.when(F.col("is_node"), F.col("node_id")).alias("node_id"))
-    return Grouping(nodes, membership.join(named, "cluster", "left"), pairs, ambiguous_pairs(pairs, settings), filtered)
+    return Grouping(nodes, membership.join(named, "cluster", "left"), pairs, ambiguous_pairs(pairs, settings), filtered, points.withColumn("request_id", F.col("first.request_id")).join(labels.select("point", "cluster"), "point"))
 
 
 def merge_nodes(membership: DataFrame, merges: DataFrame) -> DataFrame:
@@ -240,6 +288,26 @@ def merge_nodes(membership: DataFrame, merges: DataFrame) -> DataFrame:
     return membership.join(merges.select(F.col("gone").alias("node_id"), "keep"), "node_id", "left").withColumn("node_id", F.coalesce("keep", "node_id")).drop("keep")
 
 
+def settle_merges(pairs: list[tuple[str, str]], sizes: dict[str, int]) -> dict[str, str]:
+    """{gone: kept} of pairs judged to be one, in order: the larger stays (the left of equals) and grows; a pair with a node that is gone is passed over."""
+    sizes, kept = dict(sizes), {}
+    for left, right in pairs:
+        if left not in sizes or right not in sizes or left == right:
+            continue
+        keep, gone = (left, right) if sizes[left] >= sizes[right] else (right, left)
+        sizes[keep] += sizes.pop(gone)
+        kept = {g: keep if k == gone else k for g, k in kept.items()} | {gone: keep}
+    return kept
+
+
+def merge_counts(nodes: DataFrame, merges: DataFrame) -> DataFrame:
+    """nodes without those that merges (keep, gone) give up; calls and distinct prompts go to the kept node, whose template and quality stay as they are."""
+    given = nodes.where("is_node").join(merges.select(F.col("gone").alias("node_id"), "keep"), "node_id").groupBy(F.col("keep").alias("node_id")).agg(F.sum("size").alias("_size"), F.sum("distinct_prompts").alias("_prompts"))
+    out = nodes.join(merges.select(F.col("gone").alias("node_id")), "node_id", "left_anti").join(given, "node_id", "left")
+    more = lambda c, by: F.col(c) + F.coalesce(by, F.lit(0).cast("long"))
+    return out.withColumns({"size": more("size", "_size"), "distinct_prompts": more("distinct_prompts", "_prompts")}).drop("_size", "_prompts")
+
+
 def promote(nodes: DataFrame, clusters_kept: DataFrame) -> DataFrame:
     """nodes with the named residual clusters made nodes of weak confidence."""
     named = clusters_kept.select("cluster", F.lit(True).alias("_up"))

@@ -10,6 +10,10 @@ from callscope.runtime import BROADCAST_ROWS
 from callscope.settings import Settings
 
 
+#: Fixed value.
+RUNNERS_UP = 3
+
+
 def template_lines(known: DataFrame) -> DataFrame:
     """known (node_id, template, ...) with its distinct lines; the marker of the user part isn't one."""
     return known.withColumn("lines", F.array_distinct(F.filter("template", lambda x: (x != USER_MARKER) & (x != ""))))
@@ -39,7 +43,7 @@ def candidate_score(contained: Column, known_tools: Column, tools: Column, known
 
 
 def lookup(requests: DataFrame, known: DataFrame, settings: Settings = Settings(), scope_to_app: bool = False, prune: bool = False) -> DataFrame:
-    """One row for each request (request_id, app_id, lines, tools, shape): status, node_id, score, contained, runner_up.
+    """One row for each request (request_id, app_id, lines, tools, shape): status, node_id, score, contained, runner_up, runners_up (at most three).
 
     By default every callsite that shares a template line is scored, which finds what a full scan finds.
     prune: only callsites that share one of their anchor lines, as a bounded index for very large estates; a callsite
@@ -65,8 +69,9 @@ def lookup(requests: DataFrame, known: DataFrame, settings: Settings = Settings(
     contained = F.size(F.array_intersect("k_lines", "lines")) / F.size("k_lines")
     score, held = candidate_score(contained, F.col("k_tools"), F.col("tools"), F.col("k_shape"), F.col("shape"), settings)
     scored = scored.withColumns({"score": score, "contained": held}).where(F.col("contained") > 0)
-    best = scored.groupBy("request_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "contained", "node_id")), asc=False), 1, 4).alias("c"))
+    best = scored.groupBy("request_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "contained", "node_id")), asc=False), 1, 1 + RUNNERS_UP).alias("c"))
     first, second = F.col("c")[0], F.try_element_at("c", F.lit(2))
     status = F.when(F.coalesce(first["contained"], F.lit(0.0)) < settings.containment, "unknown").when(first["score"] - F.coalesce(second["score"], F.lit(-1.0)) < settings.margin, "ambiguous").otherwise("matched")
     out = requests.select("request_id").join(best, "request_id", "left").withColumn("status", status)
-    return out.select("request_id", "status", F.when(F.col("status") != "unknown", first["node_id"]).alias("node_id"), first["score"].alias("score"), first["contained"].alias("contained"), second["node_id"].alias("runner_up"))
+    return out.select("request_id", "status", F.when(F.col("status") != "unknown", first["node_id"]).alias("node_id"), first["score"].alias("score"), first["contained"].alias("contained"), second["node_id"].alias("runner_up"),
+                      F.coalesce(F.transform(F.slice("c", 2, RUNNERS_UP), lambda x: x["node_id"]), F.array().cast(f"array<{known.schema['node_id'].dataType.simpleString()}>")).alias("runners_up"))

@@ -68,16 +68,6 @@ def df_histogram(spark, d):
     return identity.frequency_bands(identity.doc_frequency(docs), docs.groupBy("app_id").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query(f"""WITH {DOCS}, e AS (SELECT app_id, request_id, unnest(list_distinct(lines)) AS line FROM d), k AS (SELECT app_id, line FROM e GROUP BY ALL HAVING count(*) >= 2)
-SELECT app_id, request_id, array_to_string(list_sort(list(md5(line))), ',') AS key FROM e SEMI JOIN k USING (app_id, line) GROUP BY 1, 2""")
-def noise_filter_semi(spark, d):
-    """A call's lines that another call of the app holds too."""
-    docs = _docs(spark, d)
-    kept = identity.doc_frequency(docs).where("df >= 2").select("app_id", "line")
-    rows = docs.select("app_id", "request_id", F.explode(F.array_distinct("lines")).alias("line"))
-    return rows.join(kept, ["app_id", "line"], "left_semi").groupBy("app_id", "request_id").agg(F.array_join(F.array_sort(F.collect_list(F.md5("line"))), ",").alias("key"))
-
-
 @query(f"""WITH d AS (SELECT lang AS app_id, doc_id, {LINES} AS lines FROM documents), n AS (SELECT app_id, count(*) AS calls FROM d GROUP BY 1),
 f AS (SELECT app_id, line, count(*) AS doc_frequency FROM (SELECT app_id, unnest(list_distinct(lines)) AS line FROM d) GROUP BY ALL)
 SELECT app_id, line, doc_frequency, calls, CASE WHEN doc_frequency >= 0.02 * calls THEN 'static' ELSE 'dynamic' END AS kind FROM f JOIN n USING (app_id)""")
@@ -114,52 +104,148 @@ def prefix_of_turns(spark, d):
     return turns.select("conv_id", common_prefix_length(F.col("a"), F.col("b")).alias("n"))
 
 
-@query(f"""WITH {DOCS}, g AS (SELECT app_id, lines, count(*) AS calls, min(request_id) AS first FROM d GROUP BY 1, 2)
-SELECT app_id, first, calls, row_number() OVER (PARTITION BY app_id ORDER BY calls DESC, first) - 1 AS rank FROM g""")
-def distinct_points(spark, d):
-    """Equal calls are one point, ranked by size."""
-    grouped = _docs(spark, d).groupBy("app_id", "lines").agg(F.count(F.lit(1)).alias("calls"), F.min("request_id").alias("first"))
-    rank = (F.row_number().over(Window.partitionBy("app_id").orderBy(F.col("calls").desc(), "first")) - 1).cast("long")
-    return grouped.select("app_id", "first", "calls", rank.alias("rank"))
+# ---------------------------------------------------------------- callsites of calls with tools, by the library's own stages
+
+#: Calls of `events` (testdata.event_calls), their views, and the lines that identity keeps.
+EVENTS = """ev AS (SELECT 'svc_' || (user_id % 4) AS app_id, 'e' || event_id AS request_id, ts, event_id, value, props, event_type AS kind,
+  ['Answer with one JSON object.', 'Stay brief.', 'Never guess.', 'You handle ' || event_type || ' events.', 'Rule 1 of ' || event_type || '.', 'Rule 2 of ' || event_type || '.', 'Rule 3 of ' || event_type || '.', 'Trace ' || event_id] AS plines,
+  ['Kind: ' || event_type, 'Locale: ' || (user_id % 3), props] AS ulines,
+  list_sort(CASE WHEN user_id % 2 = 0 THEN ['find_' || event_type, 'read_' || event_type, 'audit'] ELSE ['find_' || event_type, 'read_' || event_type] END) AS tools,
+  CASE WHEN user_id % 5 = 0 THEN 'json_object' END AS form, row_number() OVER (PARTITION BY 'svc_' || (user_id % 4) ORDER BY ts, 'e' || event_id) AS pos FROM events),
+n AS (SELECT app_id, count(*) AS n FROM ev GROUP BY 1),
+pe AS (SELECT app_id, request_id, unnest(plines) AS line FROM ev), ue AS (SELECT app_id, request_id, unnest(ulines) AS line FROM ev),
+pf AS (SELECT app_id, line FROM pe GROUP BY 1, 2 HAVING count(*) >= 2),
+uf AS (SELECT app_id, line FROM (SELECT app_id, line, count(*) AS df FROM ue GROUP BY 1, 2) JOIN n USING (app_id) WHERE df >= greatest(2, ceil(0.05 * n))),
+pk AS (SELECT app_id, request_id, list_sort(list(line)) AS pk FROM pe JOIN pf USING (app_id, line) GROUP BY 1, 2),
+uk AS (SELECT app_id, request_id, list_sort(list(line)) AS uk FROM ue JOIN uf USING (app_id, line) GROUP BY 1, 2),
+fp AS (SELECT ev.*, coalesce(pk, []) AS pk, coalesce(uk, []) AS uk FROM ev LEFT JOIN pk USING (app_id, request_id) LEFT JOIN uk USING (app_id, request_id))"""
+
+#: Points by rank, and the similarity of an app's pairs of points; every call has the shape SU.
+POINTS = f"""{EVENTS}, g AS (SELECT app_id, pk, uk, tools, form, count(*) AS calls, min(pos) AS pos, arg_min(request_id, pos) AS first FROM fp GROUP BY 1, 2, 3, 4, 5),
+pt AS (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY calls DESC, pos) - 1 AS rank FROM g),
+pn AS (SELECT *, app_id || '#' || lpad(rank::VARCHAR, 9, '0') AS point FROM pt),
+jj AS (SELECT x.app_id, x.point AS a, y.point AS b, len(list_intersect(x.pk, y.pk)) / len(list_distinct(list_concat(x.pk, y.pk))) AS jp,
+  len(list_intersect(x.uk, y.uk)) / len(list_distinct(list_concat(x.uk, y.uk))) AS ju, len(list_intersect(x.tools, y.tools)) / len(list_distinct(list_concat(x.tools, y.tools))) AS jt,
+  CASE WHEN x.form IS NOT DISTINCT FROM y.form THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS jf FROM pn x JOIN pn y ON x.app_id = y.app_id AND x.rank < y.rank WHERE y.rank < 4000),
+pp AS (SELECT app_id, a, b, CASE WHEN jt = 0 OR ju = 0 THEN least(0.5, w) ELSE w END AS score FROM (SELECT *, (0.6::DOUBLE * jp + 0.2::DOUBLE * ju + 0.25::DOUBLE * jt + 0.1::DOUBLE + 0.05::DOUBLE * jf) / 1.2::DOUBLE AS w FROM jj))"""
+LINKED = f"""{POINTS}, s AS (SELECT a, b FROM pp WHERE score >= 0.6 UNION SELECT b, a FROM pp WHERE score >= 0.6),
+r(node, to_node) AS (SELECT a, b FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.to_node = s.a),
+cc AS (SELECT node, least(node, min(to_node)) AS component FROM r GROUP BY node),
+lb AS (SELECT pn.*, coalesce(component, point) AS cluster FROM pn LEFT JOIN cc ON node = point)"""
+
+
+def _points(spark, d):
+    return identity.distinct_points(identity.noise_filter(facts.fingerprints(testdata.event_calls(spark, d))))[0]
 
 
-#: Lines shared within an app, and pairs of documents that share one: the blocked form of the pair join.
-SHARED = f"""{DOCS}, e AS (SELECT app_id, request_id, unnest(list_distinct(lines)) AS line FROM d),
-n AS (SELECT app_id, request_id, count(*) AS n FROM e GROUP BY 1, 2),
-o AS (SELECT x.app_id, x.request_id AS a, y.request_id AS b, count(*) AS shared FROM e x JOIN e y ON x.app_id = y.app_id AND x.line = y.line AND x.request_id < y.request_id GROUP BY 1, 2, 3),
-p AS (SELECT o.app_id, a, b, shared / (x.n + y.n - shared) AS score FROM o JOIN n x ON x.request_id = a JOIN n y ON y.request_id = b)"""
+def _pairs(spark, d):
+    return identity.pair_scores(_points(spark, d))
 
 
-def _pairs(spark, d):
-    """Pairs of an app's documents that share a line, with the Jaccard index of their lines."""
-    rows = _docs(spark, d).select("app_id", "request_id", F.explode(F.array_distinct("lines")).alias("line"))
-    sizes = rows.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
-    x, y = rows.withColumnRenamed("request_id", "a"), rows.withColumnRenamed("request_id", "b")
-    both = x.join(y, ["app_id", "line"]).where("a < b").groupBy("app_id", "a", "b").agg(F.count(F.lit(1)).alias("both"))
-    out = both.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    return out.select("app_id", "a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("score"))
+@query(f"WITH {EVENTS} SELECT app_id, request_id, array_to_string(pk, chr(10)) AS prompt, array_to_string(uk, chr(10)) AS user_part, array_to_string(tools, ',') AS tools FROM fp")
+def noise_filter(spark, d):
+    """The lines of a call that more than chance shares, and its tools."""
+    kept = identity.noise_filter(facts.fingerprints(testdata.event_calls(spark, d)))
+    of = lambda lines, key: F.array_join(F.array_sort(F.filter(lines, lambda x: F.array_contains(F.col(key), F.xxhash64(x)))), "\n")
+    return kept.select("app_id", "request_id", of("prompt_lines", "prompt_key").alias("prompt"), of("user_lines", "user_key").alias("user_part"), F.array_join("tools", ",").alias("tools"))
 
 
-@query(f"WITH {SHARED} SELECT app_id, a, b, round(score, 6) AS score FROM p")
+@query(f"WITH {POINTS} SELECT app_id, point, first, calls, rank FROM pn")
+def distinct_points(spark, d):
+    """Calls with equal views are one point, ranked by size."""
+    return _points(spark, d).select("app_id", "point", F.col("first.request_id").alias("first"), "calls", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {POINTS} SELECT app_id, a, b, round(score, 6) AS score FROM pp")
 def pair_similarity(spark, d):
-    """Line overlap of the pairs that share a line."""
+    """Weighted similarity of an app's points."""
     return _pairs(spark, d).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {SHARED} SELECT app_id, a, b, round(score, 4) AS score FROM p WHERE score >= 0.45 AND score < 0.6")
+@query(f"WITH {POINTS} SELECT app_id, a, b, round(score, 4) AS score FROM pp WHERE score >= 0.45 AND score < 0.6")
 def ambiguous_pairs(spark, d):
     """Pairs that just miss linkage."""
     return identity.ambiguous_pairs(_pairs(spark, d)).select("app_id", "a", "b", "score")
 
 
-@query(f"""WITH RECURSIVE {SHARED}, s AS (SELECT a, b FROM p WHERE score >= 0.6 UNION SELECT b, a FROM p WHERE score >= 0.6),
-r(node, to_node) AS (SELECT a, b FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.to_node = s.a)
-SELECT node, least(node, min(to_node)) AS component FROM r GROUP BY node""")
+@query(f"WITH RECURSIVE {LINKED} SELECT node, component FROM cc")
 def components(spark, d):
     """Single linkage of the pairs at tau."""
     return connected_components(_pairs(spark, d).where("score >= 0.6").select("a", "b"))
 
 
+#: Each cluster's calls, quality and template. A template's lines are stable, in the order of the first call.
+NODES = f"""{LINKED}, q AS (SELECT x.cluster AS ca, y.cluster AS cb, score FROM pp JOIN lb x ON x.point = a JOIN lb y ON y.point = b),
+i AS (SELECT ca AS cluster, min(score) AS lo, avg(score) AS mean FROM q WHERE ca = cb GROUP BY 1),
+o AS (SELECT cluster, max(score) AS hi FROM (SELECT ca AS cluster, score FROM q WHERE ca <> cb UNION ALL SELECT cb, score FROM q WHERE ca <> cb) GROUP BY 1),
+m AS (SELECT lb.cluster, fp.app_id, fp.request_id, fp.pos, fp.plines, fp.ulines, fp.tools, fp.pk, fp.uk FROM fp JOIN lb ON lb.app_id = fp.app_id AND lb.pk = fp.pk AND lb.uk = fp.uk AND lb.tools = fp.tools AND lb.form IS NOT DISTINCT FROM fp.form),
+z AS (SELECT app_id, cluster, count(*) AS size, count(DISTINCT [pk, uk]) AS distinct_prompts, arg_min(request_id, pos) AS medoid, arg_min(tools, pos) AS tools, arg_min(plines, pos) AS pl, arg_min(ulines, pos) AS ul FROM m GROUP BY 1, 2),
+sl AS (SELECT cluster, line FROM (SELECT cluster, unnest(pk) AS line FROM m) JOIN z USING (cluster) GROUP BY cluster, line, size HAVING count(*) >= 0.9 * size),
+vl AS (SELECT cluster, line FROM (SELECT cluster, unnest(uk) AS line FROM m) JOIN z USING (cluster) GROUP BY cluster, line, size HAVING count(*) >= 0.9 * size),
+st AS (SELECT z.cluster, list(line ORDER BY list_position(pl, line)) AS system FROM z JOIN sl USING (cluster) WHERE list_contains(pl, line) GROUP BY 1),
+vt AS (SELECT z.cluster, list(line ORDER BY list_position(ul, line)) AS own FROM z JOIN vl USING (cluster) WHERE list_contains(ul, line) GROUP BY 1),
+nd AS (SELECT z.*, coalesce(lo, 1) AS lo, coalesce(mean, 1) AS mean, coalesce(hi, 0) AS hi, coalesce(system, []) AS system, CASE WHEN own IS NULL THEN coalesce(system, []) ELSE list_concat(coalesce(system, []), ['[user turn]'], own) END AS template, n,
+  app_id || ':' || md5(array_to_string(coalesce(system, []), chr(10)) || ' ' || array_to_string(tools, ',') || ' SU')[1:12] AS base FROM z JOIN n USING (app_id) LEFT JOIN i USING (cluster) LEFT JOIN o USING (cluster) LEFT JOIN st USING (cluster) LEFT JOIN vt USING (cluster)),
+nx AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY size DESC, cluster) AS k FROM nd)"""
+
+
+@query(f"""WITH RECURSIVE {NODES} SELECT app_id, CASE WHEN k > 1 THEN base || '#' || k ELSE base END AS node_id, size, distinct_prompts, medoid, array_to_string(template, chr(10)) AS template,
+round(lo, 6) AS min_internal, round(mean, 6) AS mean_internal, round(hi, 6) AS max_external, round(lo - hi, 6) AS margin,
+CASE WHEN len(template) <= 2 OR (distinct_prompts / size > 0.95 AND size > 5) THEN 'suspect' WHEN lo - hi < 0.05 OR lo < 0.35 OR size < 5 THEN 'weak' ELSE 'ok' END AS quality,
+size >= greatest(3, least(ceil(0.02 * n), 25)) OR (len(template) >= 3 AND distinct_prompts / size <= 0.95 AND size >= 3) AS is_node FROM nx""")
+def callsite_nodes(spark, d):
+    """Callsites with their templates, ids and quality."""
+    found = identity.group(facts.fingerprints(testdata.event_calls(spark, d))).nodes
+    return found.select("app_id", "node_id", "size", "distinct_prompts", "medoid", F.array_join("template", "\n").alias("template"), *(F.round(c, 6).alias(c) for c in ("min_internal", "mean_internal", "max_external", "margin")), "quality", "is_node")
+
+
+@query(f"""WITH RECURSIVE {NODES} SELECT m.app_id, m.request_id, CASE WHEN k > 1 THEN base || '#' || k ELSE base END AS node_id FROM m JOIN nx USING (cluster)
+WHERE size >= greatest(3, least(ceil(0.02 * n), 25)) OR (len(template) >= 3 AND distinct_prompts / size <= 0.95 AND size >= 3)""")
+def callsite_membership(spark, d):
+    """Every call with its callsite."""
+    return identity.group(facts.fingerprints(testdata.event_calls(spark, d))).membership.where("node_id IS NOT NULL").select("app_id", "request_id", "node_id")
+
+
+@query(f"""WITH {POINTS}, q AS (SELECT pp.app_id, score, x.tools = y.tools AS same FROM pp JOIN pn x ON x.point = a JOIN pn y ON y.point = b),
+gg AS (SELECT app_id, list_sort(list(score) FILTER (same)) AS w, list_sort(list(score) FILTER (NOT same)) AS v FROM q GROUP BY 1)
+SELECT app_id, round(w[round_even(0.1 * (len(w) - 1), 0)::INT + 1] - v[round_even(0.9 * (len(v) - 1), 0)::INT + 1], 6) AS gap, round(w[1] - v[len(v)], 6) AS worst FROM gg""")
+def separation_gap(spark, d):
+    """How far scores within and across groups of equal tools lie apart."""
+    points = _points(spark, d)
+    named = identity.pair_scores(points).join(points.select(F.col("point").alias("a"), F.col("tools").alias("ta")), "a").join(points.select(F.col("point").alias("b"), F.col("tools").alias("tb")), "b")
+    return scoring.separation(named.withColumn("same", F.col("ta") == F.col("tb")), ["app_id"]).select("app_id", F.round("gap", 6).alias("gap"), F.round("worst", 6).alias("worst"))
+
+
+@query(f"WITH {POINTS} SELECT app_id, least(19, greatest(0, floor(round(score, 9) * 20)))::BIGINT AS bin, count(*) AS n FROM pp GROUP BY 1, 2")
+def score_histogram(spark, d):
+    """Pair scores by bin."""
+    return scoring.histogram(_pairs(spark, d).withColumn("score", F.round("score", 9)), "score", ["app_id"]).withColumn("bin", F.col("bin").cast("long"))
+
+
+@query(f"""WITH {EVENTS} SELECT app_id, count(*) AS with_system_prompt, count(*) AS with_user_template, 0::BIGINT AS weak_prompts, 8::BIGINT AS median_prompt_lines, count(DISTINCT tools) AS distinct_tool_sets,
+count(DISTINCT coalesce(form, '')) AS distinct_formats, 'SU' AS shape, 1::BIGINT AS distinct_shapes FROM ev GROUP BY 1""")
+def identity_signature(spark, d):
+    """What identity had to work with."""
+    return identity.identity_signature(facts.fingerprints(testdata.event_calls(spark, d)), ["app_id"]).select("app_id", "with_system_prompt", "with_user_template", "weak_prompts", "median_prompt_lines", "distinct_tool_sets", "distinct_formats", "shape", "distinct_shapes")
+
+
+@query("""WITH c AS (SELECT 'svc_' || (user_id % 4) AS app_id, floor(value)::BIGINT AS v, event_id FROM events), g AS (SELECT app_id, list_sort(list(v)) AS vs, count(*) AS calls,
+count(*) FILTER (event_id % 10 = 0) AS truncated, count(*) FILTER (event_id % 10 <> 0 AND event_id % 7 = 0) AS unknown, round(avg(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END), 3) AS tool_call_rate, count(*) FILTER (event_id % 2 = 0) AS model_0 FROM c GROUP BY 1)
+SELECT app_id, calls, vs[round_even(0.5 * (len(vs) - 1), 0)::INT + 1] AS completion_p50, vs[round_even(0.95 * (len(vs) - 1), 0)::INT + 1] AS completion_p95, truncated, unknown, tool_call_rate, model_0 FROM g""")
+def response_anatomy(spark, d):
+    """Sizes of the answers, models, finish reasons, tool calls."""
+    found = metrics.response_anatomy(testdata.event_calls(spark, d), ["app_id"])
+    of = lambda c, value: F.filter(c, lambda x: x["value"] == value)[0]["calls"]
+    return found.select("app_id", "calls", "completion_p50", "completion_p95", "truncated", of("finish_reasons", "unknown").alias("unknown"), "tool_call_rate", of("models", "model_0").alias("model_0"))
+
+
+@query(f"""WITH {EVENTS} SELECT request_id, len(tools)::BIGINT AS n_tools, (list_sum([length('{{"function":{{"name":"' || t || '"}}}}') FOR t IN tools]) // 4)::BIGINT AS schema_tokens,
+array_to_string(list_filter([CASE WHEN event_id % 5 = 0 AND 1000 + event_id % 200 >= 1024 THEN 'no cache hit on a prompt large enough to cache' END, CASE WHEN event_id % 10 = 0 THEN 'response truncated by max_tokens' END], lambda x: x IS NOT NULL), ';') AS flags FROM ev""")
+def tool_call_facts(spark, d):
+    """Sizes and flags of calls with tools and known sizes."""
+    return facts.call_facts(testdata.event_calls(spark, d)).select("request_id", F.col("n_tools").cast("long").alias("n_tools"), "schema_tokens", F.array_join("flags", ";").alias("flags"))
+
+
 #: Two windows of documents as two exports, each source one callsite: lines that enough of its documents hold.
 WINDOWS = f"""{DOCS}, w AS (SELECT *, (request_id // 20) % 2 AS win FROM d), wn AS (SELECT app_id, win, count(*) AS n FROM w GROUP BY 1, 2),
 wl AS (SELECT app_id, win, line, count(*) AS df FROM (SELECT app_id, win, unnest(list_distinct(lines)) AS line FROM w) GROUP BY ALL),
@@ -404,22 +490,6 @@ def purity(spark, d):
     return scoring.truth_scores(assigned, truth).select("app_id", "scored", "purity", "completeness")
 
 
-@query(f"""WITH {SHARED}, q AS (SELECT p.app_id, score, x.lang = y.lang AND x.n_chars // 500 = y.n_chars // 500 AS same FROM p JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b),
-g AS (SELECT app_id, list_sort(list(score) FILTER (same)) AS w, list_sort(list(score) FILTER (NOT same)) AS v FROM q GROUP BY 1)
-SELECT app_id, round(w[round_even(0.1 * (len(w) - 1), 0)::INT + 1] - v[round_even(0.9 * (len(v) - 1), 0)::INT + 1], 6) AS gap, round(w[1] - v[len(v)], 6) AS worst FROM g""")
-def separation_gap(spark, d):
-    """How far scores within and across groups lie apart."""
-    kind = table(spark, d, "documents").select("doc_id", F.concat_ws("/", "lang", F.floor(F.col("n_chars") / 500).cast("string")).alias("kind"))
-    named = _pairs(spark, d).join(kind.toDF("a", "ka"), "a").join(kind.toDF("b", "kb"), "b")
-    return scoring.separation(named.withColumn("same", F.col("ka") == F.col("kb")), ["app_id"]).select("app_id", F.round("gap", 6).alias("gap"), F.round("worst", 6).alias("worst"))
-
-
-@query(f"WITH {SHARED} SELECT app_id, least(19, greatest(0, floor(score * 20)))::BIGINT AS bin, count(*) AS n FROM p GROUP BY 1, 2")
-def score_histogram(spark, d):
-    """Pair scores by bin."""
-    return scoring.histogram(_pairs(spark, d), "score", ["app_id"]).withColumn("bin", F.col("bin").cast("long"))
-
-
 # ---------------------------------------------------------------- rollups at scale
 
 
