@@ -1,4 +1,4 @@
-"""Profile an export: python run.py --csv FILE [--mapping YAML] [--out DIR] [--tau X] [--max-rows-per-app N] [--no-registry]."""
+"""Profile an export: python run.py --csv FILE [--mapping YAML] [--out DIR] [--tau X] [--max-rows-per-app N] [--no-registry] [--judge-url URL --judge-model NAME]."""
 
 from __future__ import annotations
 
@@ -18,16 +18,23 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--tau", type=float)
     parser.add_argument("--max-rows-per-app", type=int)
     parser.add_argument("--no-registry", action="store_true")
+    parser.add_argument("--judge-url", help="chat-completions address of a judge; without it nothing is judged")
+    parser.add_argument("--judge-model")
+    parser.add_argument("--judge-tokens-per-minute", type=int)
+    parser.add_argument("--judge-cache", help="folder of answers, by default within --out")
     args = parser.parse_args(argv)
+    if args.judge_url and not args.judge_model:
+        parser.error("--judge-url needs --judge-model")
 
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
     from callscope.operators.registry import Store
+    from callscope.plans import judge as judging
     from callscope.plans import report
     from callscope.plans.audit import Audit
     from callscope.plans.profile import profile
-    from callscope.settings import Mapping, load_mapping, resolve
+    from callscope.settings import Mapping, load_mapping, resolve, secret
     from callscope.sources import gateway, store
 
     spark = SparkSession.builder.getOrCreate()
@@ -45,7 +52,11 @@ def main(argv: list[str] | None = None) -> int:
     audit.event("capped_apps", rows_per_app=settings.rows_per_app, apps=left_out["apps"], rows_left_out=left_out["rows"] or 0)
     if left_out["apps"]:
         print(f"{left_out['rows']} rows of {left_out['apps']} apps are beyond {settings.rows_per_app} rows an app and are left out (--max-rows-per-app)", file=sys.stderr)
-    found = profile(spark, gateway.calls(checked, mapping, settings), out.name, args.csv, settings, remember=None if args.no_registry else Store(spark, str(Path(args.out, "registry").resolve())), audit=audit)
+    judge = None
+    if args.judge_url:
+        pace = judging.Pace(args.judge_tokens_per_minute) if args.judge_tokens_per_minute else None
+        judge = judging.CachedJudge(judging.chat_call(args.judge_url, args.judge_model, secret()), args.judge_model, args.judge_cache or str(Path(args.out, "judge-cache")), audit, pace)
+    found = profile(spark, gateway.calls(checked, mapping, settings), out.name, args.csv, settings, judge, remember=None if args.no_registry else Store(spark, str(Path(args.out, "registry").resolve())), audit=audit)
     store.write(str(out.resolve()), found.tables)
     result = report.to_json(found)
     (out / "report.json").write_text(json.dumps(result, indent=1, default=str))
