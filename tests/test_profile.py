@@ -73,6 +73,9 @@ def test_reports_keep_their_size(found, tmp_path):
     assert [a["app_id"] for a in result["apps"]] == ["app", "bills"] and "cache:" in report.markdown(result)
     written = report.html_site(p, result, str(tmp_path))
     assert written == ["index.html", "app.html", "bills.html"] and all((tmp_path / f).stat().st_size < 400_000 for f in written)
+    app = result["apps"][0]
+    assert app["chain"]["mode"] == "strict" and {r["region"] for r in app["nodes"][0]["regions"]} == {"instructions", "the user turn", "tool schemas"} and app["nodes"][0]["signature"]["with_system_prompt"] == 20
+    assert report.cache_state(result["apps"][1]["nodes"][0]) == "within reach" and app["nodes"][0]["description"] in report.markdown(result) and "1 message shape: SU (20)" in report.markdown(result)
     assert report.samples_per_node(1) == 20 and report.samples_per_node(500) == 3
 
 
