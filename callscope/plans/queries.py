@@ -162,10 +162,10 @@ def pair_similarity(spark, d):
     return _pairs(spark, d).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {POINTS} SELECT app_id, a, b, round(score, 4) AS score FROM pp WHERE score >= 0.45 AND score < 0.6")
+@query(f"WITH {POINTS} SELECT app_id, a, b, round(score, 4) AS score FROM pp WHERE score >= 0.3 AND score < 0.9")
 def ambiguous_pairs(spark, d):
-    """Pairs that just miss linkage."""
-    return identity.ambiguous_pairs(_pairs(spark, d)).select("app_id", "a", "b", "score")
+    """Pairs that just miss linkage, in a band where these calls have pairs."""
+    return identity.ambiguous_pairs(_pairs(spark, d), Settings(tau=0.95, ambiguous_low=0.3, ambiguous_high=0.9)).select("app_id", "a", "b", "score")
 
 
 @query(f"WITH RECURSIVE {LINKED} SELECT node, component FROM cc")
