@@ -86,6 +86,7 @@ def load_report(checked: DataFrame, mapping: Mapping = Mapping()) -> DataFrame:
         *(F.count_if(F.col("status") == s).alias(f"skipped_{s}") for s in ("non_chat", "unparseable", "no_app_id", "no_messages")),
         F.count_if(parsed & (F.size("_id_values") > 1)).alias("app_id_disagreements"),
         *(F.count_if(has_id & (first == p)).alias(f"from_{k}") for k, p in enumerate(mapping.app_id_paths)),
+        F.count_if((F.col("status") == "loaded") & (F.coalesce(F.trim(F.col(mapping.request_id)), F.lit("")) == "")).alias("synthesised_ids"),
         F.count_if((F.col("status") == "loaded") & (usage.isNull() | ~_is("OBJECT", usage) | (F.to_json(usage) == "{}"))).alias("missing_usage"),
     )
 

@@ -42,7 +42,7 @@ def test_dirt(spark, tmp_path):
         "total_rows": 13, "skipped_unparseable": 1, "skipped_non_chat": 1, "skipped_no_app_id": 1, "skipped_no_messages": 1, "app_id_disagreements": 1, "from_1": 1, "missing_usage": 2,
     }
     by_id = {c.request_id: c for c in calls}
-    assert report["loaded"] == len(calls) == 9
+    assert report["loaded"] == len(calls) == 9 and report["synthesised_ids"] == 1
     assert by_id["r1"].cached_tokens == 40 and by_id["r4"].cached_tokens is None and by_id["r5"].app_id == "two" and by_id["r6"].app_id == "one"
     assert by_id["r1"].messages[0].content == 'He said "go",\nthen left' and str(by_id["r1"].ts) == "2024-05-01 00:00:01"
     assert any(i.startswith("synth-") for i in by_id) and by_id["r10"].model == "unknown" and by_id["r11"].ts.year == 1
